@@ -25,8 +25,9 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
-from .common import buckets_for, materialize, pack, text_bytes, texts, unpack
+from .common import buckets_for, pack, text_bytes, texts, unpack
 
 #: Pre-tokens of a block; a longer text forms a block alone.
 BLOCK = 2_000_000
@@ -69,6 +70,23 @@ def piece_finder(pattern: str):
     return find
 
 
+def _squeeze(seq: np.ndarray, n_words: int) -> tuple[bytes, np.ndarray]:
+    """Word numbers renamed by falling frequency, the first 255 in a byte each; and the new name of each word."""
+    order = np.argsort(-np.bincount(seq, minlength=n_words), kind="stable")
+    name = np.empty(n_words, np.uint32)
+    name[order] = np.arange(n_words, dtype=np.uint32)
+    seq = name[seq]
+    short = zstandard.ZstdCompressor(level=3).compress(np.minimum(seq, 255).astype(np.uint8).tobytes())
+    return len(short).to_bytes(8, "little") + short + pack(seq[seq >= 255]), order
+
+
+def _spread(blob: bytes) -> np.ndarray:
+    n = 8 + int.from_bytes(blob[:8], "little")
+    seq = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob[8:n]), np.uint8).astype(np.uint32)
+    seq[seq == 255] = unpack(blob[n:], np.uint32)
+    return seq
+
+
 def _blocks(batches: Iterator[pa.RecordBatch], pattern: str, n_buckets: int) -> Iterator[pa.RecordBatch]:
     """Rows of kind 0: a block's documents as numbers of local words; of kind 1: its distinct words in one bucket."""
     find, made = piece_finder(pattern), 0
@@ -80,10 +98,12 @@ def _blocks(batches: Iterator[pa.RecordBatch], pattern: str, n_buckets: int) ->
         nonlocal made, total
         block = (TaskContext.get().partitionId() << 24) + made
         made += 1
-        words = [w.encode() for w in local]
+        names = list(local)
+        numbers, order = _squeeze(np.concatenate(seqs), len(names))
+        words = [names[i].encode() for i in order.tolist()]
         bucket = np.fromiter((xxhash.xxh3_64_intdigest(w) % n_buckets for w in words), np.uint32, len(words))
         squeeze = zstandard.ZstdCompressor(level=3).compress
-        rows = [(block, 0, 0, pack(np.concatenate(seqs)), pack(bucket), pack(np.fromiter(map(len, seqs), np.uint32, len(seqs))), list(ids))]
+        rows = [(block, 0, -block - 1, numbers, pack(bucket), pack(np.fromiter(map(len, seqs), np.uint32, len(seqs))), list(ids))]
         order = np.argsort(bucket, kind="stable")
         for part in np.split(order, np.flatnonzero(np.diff(bucket[order])) + 1):
             if len(part):
@@ -93,7 +113,7 @@ def _blocks(batches: Iterator[pa.RecordBatch], pattern: str, n_buckets: int) ->
         ids.clear()
         seqs.clear()
         total = 0
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.list_(id_type)), strict=True)], names=["block", "kind", "bucket", "a", "b", "c", "doc_ids"])
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.list_(id_type)), strict=True)], names=["block", "kind", "bucket", "a", "b", "c", "doc_ids"])
 
     id_type = pa.int64()
     for batch in batches:
@@ -114,12 +134,17 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str) -> DataFrame:
     """doc_id, n_tokens and ids (little-endian unsigned 32-bit integers) of every whole text."""
     spark, id_type = docs.sparkSession, docs.schema["doc_id"].dataType.simpleString()
     shared = spark.sparkContext.broadcast((f"bpe-{len(ranks)}-{hash(pattern)}-{hash(frozenset(ranks.items()))}", ranks, pattern))
+    doc_id_type = to_arrow_type(docs.schema["doc_id"].dataType)
     n_buckets = buckets_for(text_bytes(docs), BUCKET_BYTES)
-    cut = texts(docs).mapInArrow(lambda batches: _blocks(batches, pattern, n_buckets), f"block long, kind int, bucket int, a binary, b binary, c binary, doc_ids array<{id_type}>")
-    cut = materialize(cut, "bpe-blocks", "uncompressed")
+    cut = texts(docs).mapInArrow(lambda batches: _blocks(batches, pattern, n_buckets), (row := f"block long, kind int, bucket long, a binary, b binary, c binary, doc_ids array<{id_type}>"))
 
     def encode_bucket(t: pa.Table) -> pa.Table:
-        """Each distinct word of the bucket is encoded once; every block gets the ids of its own words, in its order."""
+        """Each distinct word of the bucket is encoded once; every block gets the ids of its own words, in its order.
+
+        A block's documents pass on as they are: one shuffle carries both, so both come from the same run of the mapper.
+        """
+        if t.num_rows and t.column("kind")[0].as_py() == 0:
+            return t
         one = _encoding(*shared.value)._encode_single_piece
         known: dict[bytes, bytes] = {}
         blocks, counts, tokens = [], [], []
@@ -135,40 +160,39 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str) -> DataFrame:
             blocks.append(block.as_py())
             counts.append(pack(np.fromiter(map(len, out), np.uint32, len(out)) // np.uint32(4)))
             tokens.append(pack(np.frombuffer(b"".join(out), np.uint32)))
-        return pa.table([pa.array(blocks, pa.int64()), pa.array([1] * len(blocks), pa.int32()), t.column("bucket").combine_chunks() if len(blocks) else pa.array([], pa.int32()), pa.array(tokens, pa.binary()), pa.array(counts, pa.binary())], names=["block", "kind", "bucket", "a", "b"])
+        done = {"block": blocks, "kind": [1] * len(blocks), "bucket": t.column("bucket"), "a": tokens, "b": counts, "c": [None] * len(blocks), "doc_ids": [None] * len(blocks)}
+        return pa.table([x if isinstance(x, pa.ChunkedArray) else pa.array(x, t.schema.field(c).type) for c, x in done.items()], names=list(done))
 
-    coded = cut.where("kind = 1").select("block", "bucket", "a", "b").groupBy("bucket").applyInArrow(encode_bucket, "block long, kind int, bucket int, a binary, b binary")
-    coded = coded.select("block", "kind", "bucket", "a", "b", F.lit(None).cast("binary").alias("c"), F.lit(None).cast(f"array<{id_type}>").alias("doc_ids"))
+    rows = cut.groupBy("bucket").applyInArrow(encode_bucket, row)
 
-    def reassemble(t: pa.Table) -> pa.Table:
-        kinds = t.column("kind").to_pylist()
-        head = t.slice(kinds.index(0), 1)
-        seq, bucket, lengths = (unpack(head.column(c)[0].as_py(), np.uint32) for c in "abc")
+    def reassemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = [row for batch in batches for row in batch.to_pylist()]
+        heads = [row for row in got if row["kind"] == 0]
+        if len(heads) != 1:
+            raise RuntimeError("a block came twice or not at all; the input must be a table that reads alike each time")
+        seq, (bucket, lengths) = _spread(heads[0]["a"]), (unpack(heads[0][c], np.uint32) for c in "bc")
         count, start, parts, base = np.full(len(bucket), -1, np.int64), np.zeros(len(bucket), np.int64), [], 0
-        for i in (i for i, k in enumerate(kinds) if k == 1):
-            own, n, tokens = np.flatnonzero(bucket == t.column("bucket")[i].as_py()), unpack(t.column("b")[i].as_py(), np.uint32).astype(np.int64), unpack(t.column("a")[i].as_py(), np.uint32)
-            count[own], start[own] = n, base + np.cumsum(n) - n
-            parts.append(tokens)
-            base += len(tokens)
-        if (count < 0).any() or kinds.count(0) != 1:
+        for row in got:
+            if row["kind"]:
+                own, n = np.flatnonzero(bucket == row["bucket"]), unpack(row["b"], np.uint32).astype(np.int64)
+                count[own], start[own] = n, base + np.cumsum(n) - n
+                parts.append(unpack(row["a"], np.uint32))
+                base += len(parts[-1])
+        if (count < 0).any():
             raise RuntimeError("a block has lost words; the input must be a table that reads alike each time")
         tokens = np.concatenate(parts) if parts else np.zeros(0, np.uint32)
-        piece_ends, n = np.cumsum(lengths, dtype=np.int64), count[seq]
-        upto = np.concatenate(([0], np.cumsum(n)))
-        doc_ends = upto[piece_ends]
-        out, first, step = [], 0, 1 << 20  # whole documents, some at a time
-        while first < len(lengths):
-            last = max(first + 1, int(np.searchsorted(piece_ends, (piece_ends[first - 1] if first else 0) + step)))
-            lo, hi = (int(piece_ends[first - 1]) if first else 0), int(piece_ends[last - 1])
-            m = n[lo:hi]
-            flat = tokens[np.repeat(start[seq[lo:hi]] - (np.cumsum(m) - m), m) + np.arange(m.sum())].astype("<u4")
-            cuts = doc_ends[first:last] - upto[lo]
-            out += [flat[i:j].tobytes() for i, j in zip(np.concatenate(([0], cuts[:-1])).tolist(), cuts.tolist(), strict=True)]
+        ends, first = np.cumsum(lengths, dtype=np.int64), 0
+        while first < len(lengths):  # whole documents, some at a time
+            lo = int(ends[first - 1]) if first else 0
+            last = max(first + 1, int(np.searchsorted(ends, lo + (1 << 18))))
+            n = count[own := seq[lo : ends[last - 1]]]
+            upto = np.concatenate(([0], np.cumsum(n)))
+            flat = tokens[np.repeat(start[own] - upto[:-1], n) + np.arange(upto[-1])].astype("<u4")
+            cuts = [0, *upto[ends[first:last] - lo].tolist()]
+            done = [flat[i:j].tobytes() for i, j in zip(cuts, cuts[1:], strict=False)]
+            yield pa.RecordBatch.from_arrays([pa.array(heads[0]["doc_ids"][first:last], doc_id_type), pa.array([len(x) // 4 for x in done], pa.int64()), pa.array(done, pa.binary())], names=["doc_id", "n_tokens", "ids"])
             first = last
-        ids = head.column("doc_ids").combine_chunks().flatten()
-        return pa.table([ids, pa.array([len(x) // 4 for x in out], pa.int64()), pa.array(out, pa.binary())], names=["doc_id", "n_tokens", "ids"])
 
-    rows = cut.where("kind = 0").unionByName(coded)
     return rows.groupBy("block").applyInArrow(reassemble, f"doc_id {id_type}, n_tokens long, ids binary")
 
 

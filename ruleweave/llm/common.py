@@ -40,6 +40,12 @@ def materialize(df: DataFrame, name: str, compression: str = "zstd") -> DataFram
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table of whole texts, passed to Python in batches of few rows, since a text may be long."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
 def texts(docs: DataFrame) -> DataFrame:
     """doc_id and text only, so that no other column can clash with an operator's own names."""
     return docs.select(F.col("doc_id"), F.col("text"))
