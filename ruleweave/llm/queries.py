@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, line_dedup
+from . import bpe, decontaminate, line_dedup, substring_dedup
 from .common import table
 
 
@@ -22,6 +22,11 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = substring_dedup.dedup_substrings(table(spark, sf_dir, "documents"))
+    return done.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = decontaminate.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     size = lambda c: F.size(c).cast("long")
@@ -29,8 +34,8 @@ def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op3_line_dedup, op7_decontaminate, op10_bpe_round_trip)}
+    return {f.__name__: f for f in (op3_line_dedup, op6_substring_dedup, op7_decontaminate, op10_bpe_round_trip)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_line_dedup": line_dedup.ORACLE, "op7_decontaminate": decontaminate.ORACLE}
+    return {"op3_line_dedup": line_dedup.ORACLE, "op6_substring_dedup": substring_dedup.ORACLE, "op7_decontaminate": decontaminate.ORACLE}
