@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import string
 import tempfile
 import uuid
 
 import numpy as np
 import xxhash
 import zstandard
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Python's bytes.split() splits at exactly these characters: [\x20\x09-\x0D].
@@ -56,6 +57,11 @@ def keyed(docs: DataFrame) -> DataFrame:
     return texts(docs).withColumn("k", F.xxhash64(F.lit(17), "doc_id", "text"))
 
 
+def ascii_lower(text: Column) -> Column:
+    """A-Z lower-cased and nothing else; lower() does just that, and faster, where a text is ASCII."""
+    return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(F.translate(text, string.ascii_uppercase, string.ascii_lowercase))
+
+
 def text_bytes(docs: DataFrame) -> int:
     """Bytes of text in the table; sizes the number of hash buckets, so that a bucket stays bounded."""
     return docs.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0

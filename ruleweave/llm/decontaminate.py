@@ -13,12 +13,10 @@ empty tables give no hits; other columns are ignored.
 
 from __future__ import annotations
 
-import string
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import keyed, materialize
+from .common import ascii_lower, keyed, materialize
 
 WINDOW = 13
 MAX_WINDOWS = 200_000
@@ -30,13 +28,9 @@ def words_of(text: Column) -> Column:
     return F.coalesce(F.regexp_extract_all(text, F.lit(_WORD), F.lit(0)), F.array().cast("array<string>"))
 
 
-def low(word: Column) -> Column:
-    return F.translate(word, string.ascii_uppercase, string.ascii_lowercase)
-
-
 def joined(words: Column, start: Column, n: Column) -> Column:
     """n words from the 0-based start as one normalised string."""
-    return low(F.array_join(F.slice(words, start + 1, n), " "))
+    return ascii_lower(F.array_join(F.slice(words, start + 1, n), " "))
 
 
 def benchmark_windows(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:

@@ -11,27 +11,25 @@ min_chars are never dropped; an empty table gives an empty result; other columns
 
 from __future__ import annotations
 
-import string
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import keyed
+from .common import ascii_lower, keyed
 
 _SPACE = " \t\n\x0b\x0c\r"
 
 
-def normalised(line: Column) -> Column:
-    """The line's key: ASCII space stripped at both ends, A-Z lower-cased."""
-    return F.translate(F.btrim(line, F.lit(_SPACE)), string.ascii_uppercase, string.ascii_lowercase)
+def key_hashes(lines: Column, min_chars: int) -> Column:
+    """128-bit hashes of the lines' keys (ASCII space stripped at both ends, A-Z lower-cased); null if a key is short."""
+    keys = F.transform(F.transform(lines, lambda x: F.btrim(x, F.lit(_SPACE))), ascii_lower)
+    return F.transform(keys, lambda x: F.when(F.char_length(x) >= min_chars, F.unhex(F.md5(x))))
 
 
 def dedup_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1) -> DataFrame:
     """doc_id, n_lines, n_dropped and kept_text of every row."""
     lines = F.split(F.coalesce("text", F.lit("")), "\n", -1)
     base = keyed(docs)
-    hashed = F.transform(lines, lambda x: F.when(F.char_length(normalised(x)) >= min_chars, F.unhex(F.md5(normalised(x)))))
-    own = base.select("doc_id", "k", hashed.alias("h"))
+    own = base.select("doc_id", "k", key_hashes(lines, min_chars).alias("h"))
     # Rows that repeat a document would count twice: the two digests of a document tell them apart.
     seen = own.select("doc_id", "k", F.explode(F.array_distinct("h")).alias("h")).where("h IS NOT NULL")
     frequent = seen.groupBy("h", "doc_id", "k").agg(F.lit(1).alias("one")).groupBy("h").agg(F.count(F.lit(1)).alias("n_docs")).where(F.col("n_docs") >= min_docs).select("h")
