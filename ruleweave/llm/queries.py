@@ -5,10 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, line_dedup, substring_dedup
+from . import bpe, decontaminate, jaccard_join, line_dedup, substring_dedup
 from .common import table
 
 
+def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.jaccard_components(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
 def op10_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -34,8 +38,8 @@ def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op3_line_dedup, op6_substring_dedup, op7_decontaminate, op10_bpe_round_trip)}
+    return {f.__name__: f for f in (op3_line_dedup, op6_substring_dedup, op7_decontaminate, op8_jaccard_join, op10_bpe_round_trip)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_line_dedup": line_dedup.ORACLE, "op6_substring_dedup": substring_dedup.ORACLE, "op7_decontaminate": decontaminate.ORACLE}
+    return {"op3_line_dedup": line_dedup.ORACLE, "op6_substring_dedup": substring_dedup.ORACLE, "op7_decontaminate": decontaminate.ORACLE, "op8_jaccard_join": jaccard_join.ORACLE}
