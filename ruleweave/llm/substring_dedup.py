@@ -61,16 +61,32 @@ def _runs(sorted_values: np.ndarray) -> np.ndarray:
     return np.concatenate((np.ones(min(1, len(sorted_values)), bool), sorted_values[1:] != sorted_values[:-1]))
 
 
-def _by_document(ids: np.ndarray, ks: np.ndarray, starts: np.ndarray) -> Iterator[tuple[int, int, np.ndarray]]:
-    """(doc_id, k, starts) for each document of entries that are sorted by document."""
-    if len(ids):
-        cut = np.flatnonzero((ids[1:] != ids[:-1]) | (ks[1:] != ks[:-1])) + 1
-        for i, j in zip([0, *cut.tolist()], [*cut.tolist(), len(ids)], strict=True):
-            yield int(ids[i]), int(ks[i]), starts[i:j]
+def _pack_places(ids: np.ndarray, ks: np.ndarray, starts: np.ndarray) -> bytes:
+    """Places in order of document: the documents once each, and their numbers of starts and gaps between starts."""
+    run = np.flatnonzero(_runs(ks) | _runs(ids))
+    counts = np.diff(np.append(run, len(ids))).astype(np.uint32)
+    meta = [pack(np.diff(ids[run], prepend=0)), ks[run].tobytes(), pack(counts), pack(np.diff(starts, prepend=0).astype(np.int32))]
+    return np.array([len(x) for x in meta], np.uint32).tobytes() + b"".join(meta)
+
+
+def _unpack_places(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    ends = 16 + np.cumsum(np.frombuffer(blob, np.uint32, 4)).astype(int)
+    a, b, c, d = (blob[i:j] for i, j in zip([16, *ends], ends, strict=False))
+    counts = unpack(c, np.uint32)
+    return np.repeat(np.cumsum(unpack(a, np.int64)), counts), np.repeat(np.frombuffer(b, np.int64), counts), np.cumsum(unpack(d, np.int32), dtype=np.int64)
+
+
+def _by_part(ids: np.ndarray, ks: np.ndarray, starts: np.ndarray, n_parts: int) -> Iterator[tuple[int, bytes]]:
+    """(part, places) of documents dealt over n_parts by their digest."""
+    part = ks % n_parts
+    order = np.lexsort((starts, ks, ids, part))
+    for own in np.split(order, np.flatnonzero(np.diff(part[order])) + 1):
+        if len(own):
+            yield int(part[own[0]]), _pack_places(ids[own], ks[own], starts[own])
 
 
 def _windows(batches: Iterator[pa.RecordBatch], w: int, n_buckets: int) -> Iterator[pa.RecordBatch]:
-    """Rows of a bucket: hashes and where they are; rows of bucket -1: starts that a block itself finds repeated."""
+    """Rows of a bucket: hashes and their places; rows of bucket -1 - part: places that a block itself finds repeated."""
     roll, hashes = Rolling(w), WordHashes()
     ids, ks, found, total = [], [], [], 0
 
@@ -88,25 +104,18 @@ def _windows(batches: Iterator[pa.RecordBatch], w: int, n_buckets: int) -> Itera
         lead = by_hash[np.maximum.accumulate(np.where(first[by_hash], np.arange(len(h)), 0))]
         later = np.zeros(len(h), bool)
         later[by_hash] = ~((doc_ids[which[by_hash]] == doc_ids[which[lead]]) & (keys[which[by_hash]] == keys[which[lead]]) & (start[by_hash] == start[lead]))
-        out = [(-1, d, k, None, pack(s.astype(np.uint32))) for d, k, s in _by_document(doc_ids[which[later]], keys[which[later]], start[later])]
+        out = [(-1 - part, None, at) for part, at in _by_part(doc_ids[which[later]], keys[which[later]], start[later], n_buckets)]
         keep = np.flatnonzero(first)
         bucket = bucket_of(h[keep], n_buckets)
         keep = keep[np.argsort(bucket, kind="stable")]
         sizes = np.bincount(bucket, minlength=n_buckets)
         for b, part in zip(range(n_buckets), np.split(keep, np.cumsum(sizes)[:-1]), strict=True):
             if len(part):
-                docs = which[part]
-                run = np.flatnonzero(_runs(docs))
-                counts = np.diff(np.append(run, len(docs)))
-                own = docs[run]
-                gaps = np.diff(start[part], prepend=0).astype(np.int32)
-                meta = [pack(np.diff(doc_ids[own], prepend=0)), keys[own].tobytes(), pack(counts.astype(np.uint32)), pack(gaps)]
-                sizes_of = np.array([len(x) for x in meta], np.uint32).tobytes()
-                out.append((b, None, None, h[part].tobytes(), sizes_of + b"".join(meta)))
+                out.append((b, h[part].tobytes(), _pack_places(doc_ids[which[part]], keys[which[part]], start[part])))
         ids.clear()
         ks.clear()
         found.clear()
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True) if out else [()] * 5, (pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary()), strict=True)], names=["bucket", "doc_id", "k", "h", "at"])
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int32(), pa.binary(), pa.binary()), strict=True)], names=["bucket", "h", "at"])
 
     for batch in batches:
         for doc_id, k, text in zip(batch.column("doc_id").to_pylist(), batch.column("k").to_pylist(), batch.column("text"), strict=True):
@@ -124,59 +133,44 @@ def _windows(batches: Iterator[pa.RecordBatch], w: int, n_buckets: int) -> Itera
         yield flush()
 
 
-def _count(t: pa.Table) -> pa.Table:
-    """A bucket's windows that also occur earlier, as starts by document; rows of bucket -1 pass."""
-    if t.num_rows and t.column("bucket")[0].as_py() == -1:
-        return t.select(["doc_id", "k", "at"])
-    hs, ids, ks, starts = [], [], [], []
-    for h, at in zip(t.column("h"), t.column("at"), strict=True):
-        at = at.as_py()
-        ends = 16 + np.cumsum(np.frombuffer(at, np.uint32, 4)).astype(int)
-        a, b, c, d = (at[i:j] for i, j in zip([16, *ends], ends, strict=False))
-        counts = unpack(c, np.uint32)
-        hs.append(np.frombuffer(h.as_py(), np.uint64))
-        ids.append(np.repeat(np.cumsum(unpack(a, np.int64)), counts))
-        ks.append(np.repeat(np.frombuffer(b, np.int64), counts))
-        starts.append(np.cumsum(unpack(d, np.int32), dtype=np.int64))
-    h, ids, ks, starts = map(np.concatenate, (hs, ids, ks, starts))
+def _count(t: pa.Table, n_parts: int) -> pa.Table:
+    """The places of a bucket's windows that also occur earlier, by part; what a block has settled passes."""
+    if t.num_rows and (bucket := t.column("bucket")[0].as_py()) < 0:
+        return pa.table([pa.array([-1 - bucket] * t.num_rows, pa.int32()), t.column("at")], names=["part", "at"])
+    h = np.concatenate([np.frombuffer(x.as_py(), np.uint64) for x in t.column("h")])
+    ids, ks, starts = map(np.concatenate, zip(*(_unpack_places(x.as_py()) for x in t.column("at")), strict=True))
     ordered = np.sort(h)
     repeated = np.unique(ordered[1:][ordered[1:] == ordered[:-1]])
-    if len(repeated):
-        place = np.minimum(np.searchsorted(repeated, h), len(repeated) - 1)
-        some = np.flatnonzero(repeated[place] == h)
-    else:
-        some = np.zeros(0, np.int64)
+    some = np.flatnonzero(repeated[np.minimum(np.searchsorted(repeated, h), len(repeated) - 1)] == h) if len(repeated) else np.zeros(0, np.int64)
+    some = some[np.lexsort((starts[some], ks[some], ids[some], h[some]))]
     h, ids, ks, starts = h[some], ids[some], ks[some], starts[some]
-    order = np.lexsort((starts, ks, ids, h))
-    h, ids, ks, starts = h[order], ids[order], ks[order], starts[order]
-    lead = np.maximum.accumulate(np.where(_runs(h), np.arange(len(h)), 0)) if len(h) else np.zeros(0, np.int64)
-    later = ~((ids == ids[lead]) & (ks == ks[lead]) & (starts == starts[lead]))
-    ids, ks, starts = ids[later], ks[later], starts[later]
+    lead = np.maximum.accumulate(np.where(_runs(h), np.arange(len(h)), 0)) if len(h) else some
+    later = (ids != ids[lead]) | (ks != ks[lead]) | (starts != starts[lead])
+    rows = list(_by_part(ids[later], ks[later], starts[later], n_parts))
+    return pa.table([pa.array([x for x, _ in rows], pa.int32()), pa.array([x for _, x in rows], pa.binary())], names=["part", "at"])
+
+
+def _merge(t: pa.Table, window: int) -> pa.Table:
+    """The maximal intervals of each document of a part."""
+    ids, ks, starts = map(np.concatenate, zip(*(_unpack_places(x.as_py()) for x in t.column("at")), strict=True))
     order = np.lexsort((starts, ks, ids))
-    rows = [(d, k, pack(s.astype(np.uint32))) for d, k, s in _by_document(ids[order], ks[order], starts[order])]
-    return pa.table([pa.array(c, kind) for c, kind in zip(zip(*rows, strict=True) if rows else [()] * 3, (pa.int64(), pa.int64(), pa.binary()), strict=True)], names=["doc_id", "k", "at"])
+    ids, ks, starts = ids[order], ks[order], starts[order]
+    new = _runs(ids) | _runs(ks)
+    begin = np.flatnonzero(new | np.concatenate(([True], np.diff(starts) > window)))
+    end = np.append(begin[1:], len(starts)) - 1
+    spans = np.stack((starts[begin], starts[end] + window), 1).astype(np.int32)
+    docs = np.flatnonzero(new[begin])
+    cuts = [*docs.tolist(), len(begin)]
+    return pa.table([pa.array(ids[begin][docs]), pa.array(ks[begin][docs]), pa.array([spans[i:j].tobytes() for i, j in zip(cuts, cuts[1:], strict=False)], pa.binary())], names=["doc_id", "k", "spans"])
 
 
 def removals(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """doc_id (its largest value for null), k and spans: the maximal removal intervals as packed (start, end) words."""
     n_buckets = buckets_for(text_bytes(docs), BUCKET_BYTES)
     rows = keyed(docs).withColumn("doc_id", F.col("doc_id").cast("long"))
-    rows = rows.mapInArrow(lambda it: _windows(it, window, n_buckets), "bucket int, doc_id long, k long, h binary, at binary")
-    # Rows of bucket -1 need no meeting: they pass in groups of any make-up.
-    spread = F.when(F.col("bucket") == -1, F.pmod("k", F.lit(n_buckets).cast("long"))).otherwise(F.lit(0))
-    starts = rows.groupBy("bucket", spread.alias("spread")).applyInArrow(_count, "doc_id long, k long, at binary")
-    gathered = starts.groupBy("doc_id", "k").agg(F.collect_list("at").alias("ats"))
-
-    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            spans = []
-            for ats in batch.column("ats"):
-                s = np.unique(np.concatenate([unpack(x.as_py(), np.uint32) for x in ats.values])).astype(np.int64)
-                cut = np.flatnonzero(np.diff(s) > window) + 1
-                spans.append(np.stack((s[np.concatenate(([0], cut))], s[np.concatenate((cut - 1, [len(s) - 1]))] + window), 1).astype(np.int32).tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("k"), pa.array(spans, pa.binary())], names=["doc_id", "k", "spans"])
-
-    return materialize(gathered.mapInArrow(merge, "doc_id long, k long, spans binary"), "removals")
+    rows = rows.mapInArrow(lambda it: _windows(it, window, n_buckets), "bucket int, h binary, at binary")
+    places = rows.groupBy("bucket").applyInArrow(lambda t: _count(t, n_buckets), "part int, at binary")
+    return materialize(places.groupBy("part").applyInArrow(lambda t: _merge(t, window), "doc_id long, k long, spans binary"), "removals")
 
 
 def dedup_substrings(docs: DataFrame, window: int = WINDOW) -> DataFrame:
