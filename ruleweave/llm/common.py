@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
 import string
 import tempfile
 import uuid
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -77,11 +79,18 @@ def broadcast_if_small(df: DataFrame, size_column: str, limit: int = 32 << 20) -
     return F.broadcast(df) if rows * 48 + (size or 0) <= limit else df
 
 
+def release() -> None:
+    """Give memory that Python no longer needs back to the machine; workers live on for other tasks."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
 class WordHashes(dict):
     """bytes -> 64-bit hash, remembered up to a bound."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 1_000_000:
+        if len(self) > 250_000:
             self.clear()
         h = self[word] = xxhash.xxh3_64_intdigest(word)
         return h

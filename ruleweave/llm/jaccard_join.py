@@ -27,14 +27,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, broadcast_if_small, bucket_of, buckets_for, keyed, materialize, mix, pack, text_bytes, unpack
+from .common import WordHashes, broadcast_if_small, bucket_of, buckets_for, keyed, materialize, mix, pack, release, text_bytes, unpack
 from .components import connected_components
 from .substring_dedup import Rolling
 
 SHINGLE = 3
 PERCENT = 90
 #: Shingles of a block of documents.
-BLOCK = 2_000_000
+BLOCK = 1_000_000
 BUCKET_BYTES = 16 << 20
 #: Nodes of a region that one task holds at once; more are joined block against block.
 REGION = 4096
@@ -156,6 +156,8 @@ def _signed(batches: Iterator[pa.RecordBatch], w: int, percent: int, n_buckets:
                 yield flush()
     if ids:
         yield flush()
+    del sets
+    release()
 
 
 def _pairs_by_part(a: np.ndarray, b: np.ndarray, n_parts: int) -> list[tuple[int, bytes]]:
@@ -182,6 +184,8 @@ def _agree(t: pa.Table, n_parts: int) -> pa.Table:
     first = np.concatenate((np.ones(min(1, len(sig)), bool), sig[1:] != sig[:-1]))
     lead = of[np.maximum.accumulate(np.where(first, np.arange(len(sig)), 0))]
     link = of != lead
+    del sig, order
+    release()
     rows = _pairs_by_part(of[link], lead[link], n_parts)
     return pa.table([pa.array(c, k) for c, k in zip(zip(*((p, x, None, None, None, None) for p, x in rows), strict=True) if rows else [()] * 6, types, strict=True)], names=names)
 
