@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, keyed
+from .common import ascii_lower
 
 _SPACE = " \t\n\x0b\x0c\r"
 
@@ -26,9 +26,10 @@ def key_hashes(lines: Column, min_chars: int) -> Column:
 
 
 def dedup_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1) -> DataFrame:
-    """doc_id, n_lines, n_dropped and kept_text of every row."""
+    """doc_id, n_lines, n_dropped, kept_text and carried (a struct of the other columns) of every row."""
     lines = F.split(F.coalesce("text", F.lit("")), "\n", -1)
-    base = keyed(docs)
+    others = [F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text")]
+    base = docs.select("doc_id", "text", (F.struct(*others) if others else F.lit(None)).alias("carried")).withColumn("k", F.xxhash64(F.lit(17), "doc_id", "text"))
     own = base.select("doc_id", "k", key_hashes(lines, min_chars).alias("h"))
     # Rows that repeat a document would count twice: the two digests of a document tell them apart.
     seen = own.select("doc_id", "k", F.explode(F.array_distinct("h")).alias("h")).where("h IS NOT NULL")
@@ -36,13 +37,14 @@ def dedup_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1) -> Data
     places = own.select("doc_id", "k", F.posexplode("h").alias("pos", "h")).where("h IS NOT NULL")
     dropped = places.join(frequent, "h", "left_semi").groupBy(F.col("doc_id").alias("d_id"), F.col("k").alias("d_k")).agg(F.collect_set("pos").alias("gone"))
     met = base.join(dropped, F.col("doc_id").eqNullSafe(F.col("d_id")) & (F.col("k") == F.col("d_k")), "left")
-    met = met.select("doc_id", lines.alias("lines"), F.coalesce("gone", F.array().cast("array<int>")).alias("gone"))
+    met = met.select("doc_id", "carried", lines.alias("lines"), F.coalesce("gone", F.array().cast("array<int>")).alias("gone"))
     stays = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), F.col("gone"))
     return met.select(
         "doc_id",
         F.size("lines").cast("long").alias("n_lines"),
         F.size("gone").cast("long").alias("n_dropped"),
         F.array_join(F.transform(stays, lambda i: F.get("lines", i)), "\n").alias("kept_text"),
+        "carried",
     )
 
 

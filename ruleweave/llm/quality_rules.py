@@ -58,7 +58,7 @@ _IS_SYMBOL = np.array([chr(c) in _SYMBOLS for c in range(_TOP)] + [False])
 
 
 def counts(text: str, roll: Rolling) -> tuple:
-    """n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, character classes and common words of a text."""
+    """n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, character classes and common words (as shares) of a text."""
     seen = np.bincount(np.minimum(np.frombuffer(text.encode("utf-32-le"), np.uint32), _TOP), minlength=_TOP + 1)
     classes = np.bincount(_CLASS_OF, seen, len(CLASSES)).astype(np.int64)
     words = text.encode().split()
@@ -79,7 +79,8 @@ def counts(text: str, roll: Rolling) -> tuple:
     per_word = np.bincount(ids.astype(np.int64), minlength=len(number))
     where = np.fromiter((_WORDS.get(w.lower().strip(b".,;:!?'\"()"), len(_WORDS)) for w in number), np.int64, len(number))
     common = np.bincount(where, per_word, len(_WORDS) + 1).astype(np.int64)
-    return len(words), int(seen.sum() - classes[5]), int(seen[_IS_SYMBOL].sum()), len(lines) - len(set(lines)), int(repeated.sum()), classes.tolist(), common.tolist()
+    share = lambda x: (x / max(1, x.sum())).tolist()
+    return len(words), int(seen.sum() - classes[5]), int(seen[_IS_SYMBOL].sum()), len(lines) - len(set(lines)), int(repeated.sum()), share(classes), share(common)
 
 
 def distance(p: Column, q: Column) -> Column:
@@ -95,17 +96,16 @@ def judge(docs: DataFrame, max_class_distance: float = MAX_CLASS_DISTANCE, max_w
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         roll = Rolling(3)
-        types = [*[pa.int64()] * 5, *[pa.list_(pa.int64())] * 2]
+        types = [*[pa.int64()] * 5, *[pa.list_(pa.float64())] * 2]
         names = [x.split()[0] for x in longs.split(", ")]
         for batch in batches:
             rows = [counts(x.as_py() or "", roll) for x in batch.column("text")]
             columns = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [()] * 7, types, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("lang"), *columns], names=["doc_id", "lang", *names, "classes", "common"])
 
-    found = docs.select("doc_id", F.col("lang").cast("string").alias("lang"), "text").mapInArrow(run, f"doc_id {id_type}, lang string, {longs}, classes array<long>, common array<long>")
+    found = docs.select("doc_id", F.col("lang").cast("string").alias("lang"), "text").mapInArrow(run, f"doc_id {id_type}, lang string, {longs}, classes array<double>, common array<double>")
     found = found.withColumn("base_failed", (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > REPEAT_PERCENT * F.col("n_words")))
-    shares = lambda c: F.transform(c, lambda x: x / F.greatest(F.lit(1), F.aggregate(c, F.lit(0).cast("long"), lambda a, y: a + y)))
-    found = materialize(found.withColumns({"classes": shares(F.col("classes")), "common": shares(F.col("common"))}), "quality")
+    found = materialize(found, "quality")
     # A language's means, bin by bin, by partial sums.
     bins = found.where("NOT base_failed").select("lang", F.posexplode(F.concat("classes", "common")).alias("bin", "share"))
     means = bins.groupBy("lang", "bin").agg(F.avg("share").alias("share"))
