@@ -7,7 +7,8 @@ components of that agreement); no linked pair is ever apart. Document pivots can
 next to nothing lie at distance 1 from every pivot, and windows of twice the radius then copy all rows everywhere.
 Inside a region the join is the metric one: pivots make Voronoi cells, a set joins every cell whose pivot is within
 its nearest pivot's distance plus twice the radius, cells are joined recursively, and every link is checked exactly.
-Regions of many nodes are joined block against block. Links inside a found component add nothing and are skipped.
+A region of many nodes is cut anew by classes of its own, and joined block against
+block if it stays large. Links inside a found component add nothing and are skipped.
 
 Nodes are known by 64-bit digests of their sets.
 
@@ -38,6 +39,8 @@ BLOCK = 1_000_000
 BUCKET_BYTES = 16 << 20
 #: Nodes of a region that one task holds at once; more are joined block against block.
 REGION = 4096
+#: Times that large regions are cut anew.
+LEVELS = 3
 _CELL, _PIVOTS = 48, 6
 
 
@@ -91,13 +94,13 @@ class Classes:
         own = int(np.searchsorted(self.edges, n, side="right")) - 1
         return [own, own + 1] if self._partner(n) >= self.edges[own + 1] else [own]
 
-    def signatures(self, s: np.ndarray) -> np.ndarray:
-        """A set's signatures: one for each strong class, or for each class if too many are weak."""
-        out = []
+    def signatures(self, s: np.ndarray, region: int = 0) -> np.ndarray:
+        """A set's signatures in a region: one for each strong class, or for each class if too many are weak."""
+        out, salt = [], mix(np.array([region], np.int64).view(np.uint64)) if region else np.zeros(1, np.uint64)
         for tag in self.tags(len(s)) if len(s) else ():
             k, allowed, strong = self.plan(tag)
             if k:
-                spread = mix(s + np.uint64(0x9E3779B97F4A7C15 * (tag + 1) % (1 << 64)))
+                spread = mix((s ^ salt) + np.uint64(0x9E3779B97F4A7C15 * (tag + 1) % (1 << 64)))
                 own = bucket_of(spread, k)
                 total = np.zeros(k, np.uint64)
                 np.add.at(total, own, mix(spread))
@@ -105,7 +108,7 @@ class Classes:
                 here = np.flatnonzero(sizes >= strong)
                 if k - len(here) > allowed:
                     here = np.arange(k)
-                out.append(mix(total[here] + here.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93) + np.uint64(tag << 32) + sizes[here].astype(np.uint64)))
+                out.append(mix(total[here] + here.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93) + np.uint64(tag << 32) + sizes[here].astype(np.uint64) + salt))
         return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
 
@@ -140,7 +143,7 @@ def _signed(batches: Iterator[pa.RecordBatch], w: int, percent: int, n_buckets:
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
 
     for batch in batches:
-        for doc_id, k, text in zip(batch.column("doc_id").to_pylist(), batch.column("k").to_pylist(), batch.column("text"), strict=True):
+        for doc_id, k, region, text in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "k", "region")), batch.column("text"), strict=True):
             s = sets(text.as_py())
             node = node_of(s)
             ids.append(doc_id)
@@ -149,7 +152,7 @@ def _signed(batches: Iterator[pa.RecordBatch], w: int, percent: int, n_buckets:
             sizes.append(len(s))
             if node not in seen:
                 seen.add(node)
-                if len(got := classes.signatures(s)):
+                if len(got := classes.signatures(s, region)):
                     sigs.append((node, got))
             total += len(s)
             if total >= BLOCK or len(ids) >= 50_000:
@@ -269,16 +272,33 @@ def jaccard_components(docs: DataFrame, w: int = SHINGLE, percent: int = PERCENT
     n_buckets = buckets_for(size, BUCKET_BYTES)
     base = keyed(docs).withColumn("doc_id", F.col("doc_id").cast("long"))
     lists = "doc_id array<long>, k array<long>, node array<long>, n array<long>"
-    signed = base.mapInArrow(lambda it: _signed(it, w, percent, n_buckets), f"bucket int, sig binary, nodes binary, {lists}")
-    met = materialize(signed.groupBy("bucket").applyInArrow(lambda t: _agree(t, n_buckets), f"part int, pairs binary, {lists}"), "agreements")
+
+    def agreements(docs: DataFrame) -> DataFrame:
+        signed = docs.select("doc_id", "k", "region", "text").mapInArrow(lambda it: _signed(it, w, percent, n_buckets), f"bucket int, sig binary, nodes binary, {lists}")
+        return materialize(signed.groupBy("bucket").applyInArrow(lambda t: _agree(t, n_buckets), f"part int, pairs binary, {lists}"), "agreements")
+
+    def cut(met: DataFrame) -> DataFrame:
+        """(node, region, size) of nodes that agree with another."""
+        pairs = met.where("part IS NOT NULL").select("part", "pairs").groupBy("part").applyInArrow(_distinct_pairs, "a long, b long")
+        found = connected_components(pairs).withColumnRenamed("root", "region")
+        return materialize(found.join(found.groupBy("region").agg(F.count(F.lit(1)).alias("size")), "region").select("node", "region", "size"), "regions")
+
+    def brought(nodes: DataFrame) -> DataFrame:
+        """Texts of nodes: one document of each brings the set."""
+        bring = rows.join(nodes, "node").groupBy("node", "region", "size").agg(F.min(F.struct("doc_id", "k")).alias("d"))
+        bring = materialize(bring.select(F.col("d.doc_id").alias("b_id"), F.col("d.k").alias("b_k"), "node", "region", "size", F.lit("").alias("none")), "bring")
+        return base.join(broadcast_if_small(bring, "none"), F.col("doc_id").eqNullSafe(F.col("b_id")) & (F.col("k") == F.col("b_k"))).select("doc_id", "k", "text", "node", "region", "size")
+
+    met = agreements(base.withColumn("region", F.lit(0).cast("long")))
     rows = met.where("part IS NULL").select(F.explode(F.arrays_zip("doc_id", "k", "node", "n")).alias("r")).select("r.*")
-    pairs = met.where("part IS NOT NULL").select("part", "pairs").groupBy("part").applyInArrow(_distinct_pairs, "a long, b long")
-    regions = connected_components(pairs).withColumnRenamed("root", "region")
-    # One document of each node in a region brings the set.
-    counted = regions.groupBy("region").agg(F.count(F.lit(1)).alias("size"))
-    bring = rows.join(regions, "node").groupBy("node", "region").agg(F.min(F.struct("doc_id", "k")).alias("d")).join(counted, "region")
-    bring = materialize(bring.select(F.col("d.doc_id").alias("b_id"), F.col("d.k").alias("b_k"), "node", "region", "size", F.lit("").alias("none")), "regions")
-    sets = base.join(broadcast_if_small(bring, "none"), F.col("doc_id").eqNullSafe(F.col("b_id")) & (F.col("k") == F.col("b_k"))).select("text", "node", "region", "size")
+    regions = cut(met)
+    # A region that chance agreements hold together falls apart when it is cut again by classes of its own.
+    for _ in range(LEVELS):
+        large = regions.where(F.col("size") > region)
+        if large.isEmpty():
+            break
+        regions = materialize(regions.where(F.col("size") <= region).unionByName(cut(agreements(brought(large)))), "regions")
+    sets = brought(regions)
 
     def shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         make = Shingles(w)
