@@ -3,12 +3,12 @@
 Documents become sets of word shingles; equal sets are one node. A first, exact split cuts the table into regions:
 two sets within the distance differ in at most H shingles, so of H + 1 + e hash classes of the shingles at least
 e + 1 hold the same shingles in both. Nodes that agree on a class with enough shingles fall into one region (of the
-components of that agreement); no linked pair is ever apart. Document pivots cannot do this first cut: sets that share
+components of that agreement); no linked pair is ever apart. Shingles of passages that many documents share don't count as enough. Document pivots cannot do this first cut: sets that share
 next to nothing lie at distance 1 from every pivot, and windows of twice the radius then copy all rows everywhere.
 Inside a region the join is the metric one: pivots make Voronoi cells, a set joins every cell whose pivot is within
 its nearest pivot's distance plus twice the radius, cells are joined recursively, and every link is checked exactly.
-A region of many nodes is cut anew by classes of its own, and joined block against
-block if it stays large. Links inside a found component add nothing and are skipped.
+Regions are cut anew by classes of their own; one that stays large is joined block
+against block. Links inside a found component add nothing and are skipped.
 
 Nodes are known by 64-bit digests of their sets.
 
@@ -39,7 +39,9 @@ BLOCK = 1_000_000
 BUCKET_BYTES = 16 << 20
 #: Nodes of a region that one task holds at once; more are joined block against block.
 REGION = 4096
-#: Times that large regions are cut anew.
+#: A shingle in this share of documents is frequent; so many of them are known at most; classes added for frequent ones.
+SHARE, MAX_FREQUENT, SLACK = 0.002, 500_000, 0.15
+#: Times that regions are cut anew, from the second time on only those of more than REGION nodes.
 LEVELS = 3
 _CELL, _PIVOTS = 48, 6
 
@@ -63,8 +65,8 @@ class Shingles:
 class Classes:
     """The exact split: for each range of sizes, how many hash classes, and how few shingles make one weak."""
 
-    def __init__(self, percent: int):
-        self.percent, self.edges = percent, [1]
+    def __init__(self, percent: int, frequent: np.ndarray):
+        self.percent, self.edges, self.frequent = percent, [1], frequent
         while self.edges[-1] < 1 << 40:
             self.edges.append(max(self.edges[-1] + 1, int(self.edges[-1] * 1.25), self._partner(self.edges[-1]) + 1))
         self.known: dict[int, tuple[int, int, int]] = {}
@@ -84,7 +86,7 @@ class Classes:
                 for _ in range(20):
                     k, mean = differ + 1 + e, least / (differ + 1 + e)
                     weak = k * math.exp(-mean) * sum(mean**i / math.factorial(i) for i in range(strong))
-                    e = math.ceil(weak + 3 * math.sqrt(weak) + 1)
+                    e = math.ceil(weak + 3 * math.sqrt(weak) + 1 + SLACK * (differ + 1))
                 if strong == 1 or k <= 1.5 * (differ + 1) + 2:
                     break
             self.known[tag] = (differ + 1 + e if differ else 0, e, strong)
@@ -95,7 +97,13 @@ class Classes:
         return [own, own + 1] if self._partner(n) >= self.edges[own + 1] else [own]
 
     def signatures(self, s: np.ndarray, region: int = 0) -> np.ndarray:
-        """A set's signatures in a region: one for each strong class, or for each class if too many are weak."""
+        """A set's signatures in a region: one for each strong class, or for each class if too many are weak.
+
+        Frequent shingles do not make a class strong: a passage that many documents share links none of them.
+        """
+        rare = np.ones(len(s), bool)
+        if len(self.frequent) and len(s):
+            rare = self.frequent[np.minimum(np.searchsorted(self.frequent, s), len(self.frequent) - 1)] != s
         out, salt = [], mix(np.array([region], np.int64).view(np.uint64)) if region else np.zeros(1, np.uint64)
         for tag in self.tags(len(s)) if len(s) else ():
             k, allowed, strong = self.plan(tag)
@@ -105,7 +113,7 @@ class Classes:
                 total = np.zeros(k, np.uint64)
                 np.add.at(total, own, mix(spread))
                 sizes = np.bincount(own, minlength=k)
-                here = np.flatnonzero(sizes >= strong)
+                here = np.flatnonzero(np.bincount(own[rare], minlength=k) >= strong)
                 if k - len(here) > allowed:
                     here = np.arange(k)
                 out.append(mix(total[here] + here.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93) + np.uint64(tag << 32) + sizes[here].astype(np.uint64) + salt))
@@ -116,9 +124,9 @@ def node_of(s: np.ndarray) -> int:
     return xxhash.xxh3_64_intdigest(s.tobytes(), seed=1) - (1 << 63)
 
 
-def _signed(batches: Iterator[pa.RecordBatch], w: int, percent: int, n_buckets: int) -> Iterator[pa.RecordBatch]:
+def _signed(batches: Iterator[pa.RecordBatch], w: int, percent: int, n_buckets: int, frequent: np.ndarray) -> Iterator[pa.RecordBatch]:
     """Rows of a bucket: signatures and their nodes; rows of a negative bucket: documents with node and set size."""
-    sets, classes, made = Shingles(w), Classes(percent), 0
+    sets, classes, made = Shingles(w), Classes(percent, frequent), 0
     names = ["bucket", "sig", "nodes", "doc_id", "k", "node", "n"]
     types = [pa.int32(), pa.binary(), pa.binary(), *map(pa.list_, (pa.int64(), pa.int64(), pa.int64(), pa.int64()))]
     ids, ks, nodes, sizes, sigs, seen, total = [], [], [], [], [], set(), 0
@@ -198,6 +206,38 @@ def _distinct_pairs(t: pa.Table) -> pa.Table:
     return pa.table([pa.array(both[:, 0]), pa.array(both[:, 1])], names=["a", "b"])
 
 
+def frequent_shingles(docs: DataFrame, w: int) -> np.ndarray:
+    """Sorted hashes of shingles found in at least SHARE of the documents, or nearly, counted over all documents.
+
+    A block passes on those in SHARE of its own documents, so every frequent one comes from some block, and their number
+    is bounded by the mean size of a set over SHARE, however many documents there are. Any table gives the same links:
+    it only spares work.
+    """
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        make, held, n = Shingles(w), [], 0
+
+        def flush() -> pa.RecordBatch:
+            found, times = np.unique(np.concatenate(held), return_counts=True)
+            some = times >= max(3, SHARE * len(held))
+            return pa.RecordBatch.from_arrays([pa.array(found[some].view(np.int64)), pa.array(times[some].astype(np.int64))], names=["h", "n"])
+
+        for batch in batches:
+            for text in batch.column("text"):
+                held.append(make(text.as_py()))
+                n += len(held[-1])
+                if n >= 2 * BLOCK:
+                    yield flush()
+                    held, n = [], 0
+        if held:
+            yield flush()
+        release()
+
+    least = SHARE * docs.count() / 2
+    got = docs.select("text").mapInArrow(count, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= max(3.0, least))
+    return np.sort(got.orderBy(F.desc("n"), "h").limit(MAX_FREQUENT).select("h").toArrow().column("h").to_numpy().view(np.uint64))
+
+
 class Region:
     """The metric join of sets held in memory; links are gathered in a forest."""
 
@@ -273,8 +313,10 @@ def jaccard_components(docs: DataFrame, w: int = SHINGLE, percent: int = PERCENT
     base = keyed(docs).withColumn("doc_id", F.col("doc_id").cast("long"))
     lists = "doc_id array<long>, k array<long>, node array<long>, n array<long>"
 
+    often = docs.sparkSession.sparkContext.broadcast(frequent_shingles(base, w))
+
     def agreements(docs: DataFrame) -> DataFrame:
-        signed = docs.select("doc_id", "k", "region", "text").mapInArrow(lambda it: _signed(it, w, percent, n_buckets), f"bucket int, sig binary, nodes binary, {lists}")
+        signed = docs.select("doc_id", "k", "region", "text").mapInArrow(lambda it: _signed(it, w, percent, n_buckets, often.value), f"bucket int, sig binary, nodes binary, {lists}")
         return materialize(signed.groupBy("bucket").applyInArrow(lambda t: _agree(t, n_buckets), f"part int, pairs binary, {lists}"), "agreements")
 
     def cut(met: DataFrame) -> DataFrame:
@@ -292,12 +334,14 @@ def jaccard_components(docs: DataFrame, w: int = SHINGLE, percent: int = PERCENT
     met = agreements(base.withColumn("region", F.lit(0).cast("long")))
     rows = met.where("part IS NULL").select(F.explode(F.arrays_zip("doc_id", "k", "node", "n")).alias("r")).select("r.*")
     regions = cut(met)
-    # A region that chance agreements hold together falls apart when it is cut again by classes of its own.
-    for _ in range(LEVELS):
-        large = regions.where(F.col("size") > region)
+    # Regions that chance agreements hold together fall apart when they are cut again by classes of their own: first
+    # all of them, so that few sets travel, then those that are still large.
+    for level in range(LEVELS):
+        again = F.col("size") > (region if level else 1)
+        large = regions.where(again)
         if large.isEmpty():
             break
-        regions = materialize(regions.where(F.col("size") <= region).unionByName(cut(agreements(brought(large)))), "regions")
+        regions = materialize(regions.where(~again).unionByName(cut(agreements(brought(large)))), "regions")
     sets = brought(regions)
 
     def shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
