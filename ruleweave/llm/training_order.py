@@ -19,6 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -92,6 +93,7 @@ def write_shards(docs: DataFrame, path: str | None = None, seq_len: int = SEQ_LE
     met = base.join(first, F.col("doc_id").eqNullSafe(F.col("f_id")) & (F.col("k") == F.col("f_k"))).select("doc_id", "text", "first")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        squeeze = zstandard.ZstdCompressor(level=3, write_checksum=False, write_content_size=True).compress
         for batch in batches:
             at, records = [], []
             for doc_id, text, begin in zip(batch.column("doc_id").to_pylist(), batch.column("text"), batch.column("first").to_pylist(), strict=True):
@@ -99,13 +101,19 @@ def write_shards(docs: DataFrame, path: str | None = None, seq_len: int = SEQ_LE
                 for i in range(0, len(data), seq_len):
                     own = data[i : i + seq_len]
                     at.append(begin + i // seq_len)
-                    records.append(struct.pack(_HEAD, _NONE if doc_id is None else doc_id, i // seq_len, len(own)) + own.ljust(seq_len, b"\0"))
+                    records.append(squeeze(struct.pack(_HEAD, _NONE if doc_id is None else doc_id, i // seq_len, len(own)) + own.ljust(seq_len, b"\0")))
             yield pa.RecordBatch.from_arrays([pa.array(slots(np.array(at, np.int64), n, key)), pa.array(records, pa.binary())], names=["slot", "record"])
 
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        whole = zstandard.ZstdDecompressor().decompress
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column("shard"), pa.array([whole(x.as_py()) for x in batch.column("record")], pa.binary())], names=["shard", "record"])
+
     records = met.mapInArrow(cut, "slot long, record binary").withColumn("shard", F.floor(F.col("slot") / per_shard))
     # All of a shard is in one partition, in order of slot; a repeated row's records are the same, one stays.
     dealt = records.repartition("shard").dropDuplicates(["shard", "slot"]).sortWithinPartitions("shard", "slot")
-    dealt.select("shard", F.col("record").cast("string").alias("value")).write.partitionBy("shard").option("compression", "none").text(path)
+    plain = dealt.select("shard", "record").mapInArrow(spread, "shard long, record binary")
+    plain.select("shard", F.col("record").cast("string").alias("value")).write.partitionBy("shard").option("compression", "none").text(path)
     return path
 
 
