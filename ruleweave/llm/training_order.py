@@ -93,7 +93,7 @@ def write_shards(docs: DataFrame, path: str | None = None, seq_len: int = SEQ_LE
     met = base.join(first, F.col("doc_id").eqNullSafe(F.col("f_id")) & (F.col("k") == F.col("f_k"))).select("doc_id", "text", "first")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        squeeze = zstandard.ZstdCompressor(level=3, write_checksum=False, write_content_size=True).compress
+        squeeze = zstandard.ZstdCompressor(level=9, write_checksum=False, write_content_size=False).compress
         for batch in batches:
             at, records = [], []
             for doc_id, text, begin in zip(batch.column("doc_id").to_pylist(), batch.column("text"), batch.column("first").to_pylist(), strict=True):
@@ -107,7 +107,7 @@ def write_shards(docs: DataFrame, path: str | None = None, seq_len: int = SEQ_LE
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         whole = zstandard.ZstdDecompressor().decompress
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column("shard"), pa.array([whole(x.as_py()) for x in batch.column("record")], pa.binary())], names=["shard", "record"])
+            yield pa.RecordBatch.from_arrays([batch.column("shard"), pa.array([whole(x.as_py(), max_output_size=struct.calcsize(_HEAD) + seq_len) for x in batch.column("record")], pa.binary())], names=["shard", "record"])
 
     records = met.mapInArrow(cut, "slot long, record binary").withColumn("shard", F.floor(F.col("slot") / per_shard))
     # All of a shard is in one partition, in order of slot; a repeated row's records are the same, one stays.
