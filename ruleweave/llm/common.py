@@ -37,9 +37,14 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def materialize(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
-    """Write df as Parquet in the shared folder and read it back: cuts lineage and outlives lost executors."""
+    """Write df as Parquet in the shared folder and read it back: cuts lineage and outlives lost executors.
+
+    The shuffles behind df are of no more use then, but Spark keeps their files until the driver collects its garbage; it
+    is asked to, so that the disk holds those of one step and not of all.
+    """
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", compression).parquet(path)
+    df.sparkSession.sparkContext._jvm.System.gc()
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

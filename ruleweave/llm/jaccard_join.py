@@ -25,6 +25,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -53,7 +54,10 @@ class Shingles:
         self.w, self.words, self.roll = w, WordHashes(), Rolling(w)
 
     def __call__(self, text: str | None) -> np.ndarray:
-        words = text.encode().lower().split() if text else []
+        return self.of_bytes(text.encode().lower() if text else b"")
+
+    def of_bytes(self, lowered: bytes) -> np.ndarray:
+        words = lowered.split()
         if not words:
             return np.zeros(0, np.uint64)
         h = self.words.of(words)
@@ -293,16 +297,19 @@ class Region:
                 self._from(i, members[rest], self._codes(members[rest]))
 
 
-def _join_regions(t: pa.Table, percent: int) -> pa.Table:
+def _join_regions(t: pa.Table, w: int, percent: int) -> pa.Table:
     """Links of the regions of a table, as a forest."""
     region, node = (np.array(t.column(c).to_pylist(), np.int64) for c in ("region", "node"))
-    raw, out = t.column("s").to_pylist(), []
+    make, plain, out = Shingles(w), zstandard.ZstdDecompressor(), []
+    packed = t.column("packed")
     order = np.argsort(region, kind="stable")
     for own in np.split(order, np.flatnonzero(np.diff(region[order])) + 1):
         own = own[np.unique(node[own], return_index=True)[1]]
-        found = Region([np.frombuffer(raw[i], np.uint64) for i in own], percent)
+        found = Region([make.of_bytes(plain.decompress(packed[int(i)].as_py())) for i in own], percent)
         found.join(np.arange(len(own)))
         out += [(int(node[own[i]]), int(node[own[j]])) for i, j in found.links]
+    del make
+    release()
     return pa.table([pa.array([x for x, _ in out], pa.int64()), pa.array([y for _, y in out], pa.int64())], names=["a", "b"])
 
 
@@ -344,18 +351,19 @@ def jaccard_components(docs: DataFrame, w: int = SHINGLE, percent: int = PERCENT
         regions = materialize(regions.where(~again).unionByName(cut(agreements(brought(large)))), "regions")
     sets = brought(regions)
 
-    def shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        make = Shingles(w)
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # A compressed text takes a third of the bytes of its set, so texts travel and regions make the sets.
+        press = zstandard.ZstdCompressor(level=3)
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column("node"), batch.column("region"), batch.column("size"), pa.array([make(x.as_py()).tobytes() for x in batch.column("text")], pa.binary())], names=["node", "region", "size", "s"])
+            yield pa.RecordBatch.from_arrays([*map(batch.column, ("node", "region", "size")), pa.array([press.compress(x.as_py().encode().lower()) for x in batch.column("text")], pa.binary())], names=["node", "region", "size", "packed"])
 
-    sets = sets.mapInArrow(shingled, "node long, region long, size long, s binary")
+    sets = sets.select("node", "region", "size", "text").mapInArrow(packed, "node long, region long, size long, packed binary")
     blocks = F.ceil(F.col("size") / region).cast("int")
     own = F.pmod(F.xxhash64("node"), F.col("blocks").cast("long")).cast("int")
     small = F.col("blocks") == 1
     sets = sets.withColumn("blocks", blocks).withColumn("own", own)
-    sets = sets.select("region", "node", "s", "own", F.when(small, F.pmod(F.xxhash64("region"), F.lit(n_buckets * 4).cast("long"))).otherwise(F.col("region")).alias("g"), F.explode(F.when(small, F.array(F.lit(-1))).otherwise(F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: j != F.col("own")))).alias("other"))
-    links = sets.groupBy("g", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j")).applyInArrow(lambda t: _join_regions(t, percent), "a long, b long")
+    sets = sets.select("region", "node", "packed", "own", F.when(small, F.pmod(F.xxhash64("region"), F.lit(n_buckets * 4).cast("long"))).otherwise(F.col("region")).alias("g"), F.explode(F.when(small, F.array(F.lit(-1))).otherwise(F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: j != F.col("own")))).alias("other"))
+    links = sets.groupBy("g", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j")).applyInArrow(lambda t: _join_regions(t, w, percent), "a long, b long")
     roots = connected_components(materialize(links, "links"))
     rows = rows.join(roots, "node", "left").withColumn("c", F.when(F.col("n") > 0, F.coalesce("root", "node")))
     least = rows.where("n > 0").groupBy("c").agg(F.min("doc_id").alias("least"))
