@@ -2,8 +2,9 @@
 
 Documents become sets of word shingles; equal sets are one node. A first, exact split cuts the table into regions:
 two sets within the distance differ in at most H shingles, so of H + 1 + e hash classes of the shingles at least
-e + 1 hold the same shingles in both. Nodes that agree on a class with enough shingles fall into one region (of the
-components of that agreement); no linked pair is ever apart. Shingles of passages that many documents share don't count as enough. Document pivots cannot do this first cut: sets that share
+e + 1 hold the same shingles in both. Nodes that agree on a class fall into one region (of the components of that
+agreement), and each leaves out its e weakest classes, which hold few shingles or those of passages that many documents
+share; the strongest class of an agreement is left out by neither, so no linked pair is ever apart. Document pivots cannot do this first cut: sets that share
 next to nothing lie at distance 1 from every pivot, and windows of twice the radius then copy all rows everywhere.
 Inside a region the join is the metric one: pivots make Voronoi cells, a set joins every cell whose pivot is within
 its nearest pivot's distance plus twice the radius, cells are joined recursively, and every link is checked exactly.
@@ -38,8 +39,8 @@ PERCENT = 90
 #: Shingles of a block of documents.
 BLOCK = 1_000_000
 BUCKET_BYTES = 16 << 20
-#: Nodes of a region that one task holds at once; more are joined block against block.
-REGION = 4096
+#: Nodes, and shingles of nodes, of a block: regions of more are joined block against block.
+REGION, REGION_SHINGLES = 4096, 1_000_000
 #: A shingle in this share of documents is frequent; so many of them are known at most; classes added for frequent ones.
 SHARE, MAX_FREQUENT, SLACK = 0.002, 500_000, 0.15
 #: Times that regions are cut anew, from the second time on only those of more than REGION nodes.
@@ -67,20 +68,20 @@ class Shingles:
 
 
 class Classes:
-    """The exact split: for each range of sizes, how many hash classes, and how few shingles make one weak."""
+    """The exact split: for each range of sizes, how many hash classes, and how many of them give no signature."""
 
     def __init__(self, percent: int, frequent: np.ndarray):
         self.percent, self.edges, self.frequent = percent, [1], frequent
         while self.edges[-1] < 1 << 40:
             self.edges.append(max(self.edges[-1] + 1, int(self.edges[-1] * 1.25), self._partner(self.edges[-1]) + 1))
-        self.known: dict[int, tuple[int, int, int]] = {}
+        self.known: dict[int, tuple[int, int]] = {}
 
     def _partner(self, n: int) -> int:
         """The largest set that can link with one of n shingles."""
         return n * 100 // self.percent
 
-    def plan(self, tag: int) -> tuple[int, int, int]:
-        """(classes, weak classes allowed, shingles that make a class strong) of sets that meet under a tag."""
+    def plan(self, tag: int) -> tuple[int, int]:
+        """(classes, weakest of them that give no signature) of sets that meet under a tag."""
         if tag not in self.known:
             union = self._partner(self.edges[tag + 1] - 1)
             differ = union - -(-union * self.percent // 100)
@@ -93,7 +94,7 @@ class Classes:
                     e = math.ceil(weak + 3 * math.sqrt(weak) + 1 + SLACK * (differ + 1))
                 if strong == 1 or k <= 1.5 * (differ + 1) + 2:
                     break
-            self.known[tag] = (differ + 1 + e if differ else 0, e, strong)
+            self.known[tag] = (differ + 1 + e if differ else 0, e)
         return self.known[tag]
 
     def tags(self, n: int) -> list[int]:
@@ -101,25 +102,25 @@ class Classes:
         return [own, own + 1] if self._partner(n) >= self.edges[own + 1] else [own]
 
     def signatures(self, s: np.ndarray, region: int = 0) -> np.ndarray:
-        """A set's signatures in a region: one for each strong class, or for each class if too many are weak.
+        """A set's signatures in a region: of each tag's classes all but the weakest that the plan allows.
 
-        Frequent shingles do not make a class strong: a passage that many documents share links none of them.
+        Two sets within the distance agree on one class more than each leaves out. Strength hangs on a class's content and number
+        alone, so the strongest class they agree on is among the signatures of both. Classes rank by their rare shingles
+        first: a passage that many documents share links none of them that has enough text of its own.
         """
         rare = np.ones(len(s), bool)
         if len(self.frequent) and len(s):
             rare = self.frequent[np.minimum(np.searchsorted(self.frequent, s), len(self.frequent) - 1)] != s
         out, salt = [], mix(np.array([region], np.int64).view(np.uint64)) if region else np.zeros(1, np.uint64)
         for tag in self.tags(len(s)) if len(s) else ():
-            k, allowed, strong = self.plan(tag)
+            k, weakest = self.plan(tag)
             if k:
                 spread = mix((s ^ salt) + np.uint64(0x9E3779B97F4A7C15 * (tag + 1) % (1 << 64)))
                 own = bucket_of(spread, k)
                 total = np.zeros(k, np.uint64)
                 np.add.at(total, own, mix(spread))
                 sizes = np.bincount(own, minlength=k)
-                here = np.flatnonzero(np.bincount(own[rare], minlength=k) >= strong)
-                if k - len(here) > allowed:
-                    here = np.arange(k)
+                here = np.lexsort((np.arange(k), sizes, np.bincount(own[rare], minlength=k)))[weakest:]
                 out.append(mix(total[here] + here.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93) + np.uint64(tag << 32) + sizes[here].astype(np.uint64) + salt))
         return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
@@ -332,36 +333,42 @@ def jaccard_components(docs: DataFrame, w: int = SHINGLE, percent: int = PERCENT
         found = connected_components(pairs).withColumnRenamed("root", "region")
         return materialize(found.join(found.groupBy("region").agg(F.count(F.lit(1)).alias("size")), "region").select("node", "region", "size"), "regions")
 
-    def brought(nodes: DataFrame) -> DataFrame:
+    def brought(nodes: DataFrame, size: str = "size") -> DataFrame:
         """Texts of nodes: one document of each brings the set."""
-        bring = rows.join(nodes, "node").groupBy("node", "region", "size").agg(F.min(F.struct("doc_id", "k")).alias("d"))
-        bring = materialize(bring.select(F.col("d.doc_id").alias("b_id"), F.col("d.k").alias("b_k"), "node", "region", "size", F.lit("").alias("none")), "bring")
-        return base.join(broadcast_if_small(bring, "none"), F.col("doc_id").eqNullSafe(F.col("b_id")) & (F.col("k") == F.col("b_k"))).select("doc_id", "k", "text", "node", "region", "size")
+        bring = rows.join(nodes, "node").groupBy("node", "region", size).agg(F.min(F.struct("doc_id", "k")).alias("d"))
+        bring = materialize(bring.select(F.col("d.doc_id").alias("b_id"), F.col("d.k").alias("b_k"), "node", "region", size, F.lit("").alias("none")), "bring")
+        return base.join(broadcast_if_small(bring, "none"), F.col("doc_id").eqNullSafe(F.col("b_id")) & (F.col("k") == F.col("b_k"))).select("doc_id", "k", "text", "node", "region", size)
 
     met = agreements(base.withColumn("region", F.lit(0).cast("long")))
     rows = met.where("part IS NULL").select(F.explode(F.arrays_zip("doc_id", "k", "node", "n")).alias("r")).select("r.*")
     regions = cut(met)
     # Regions that chance agreements hold together fall apart when they are cut again by classes of their own: first
     # all of them, so that few sets travel, then those that are still large.
+    before = -1
     for level in range(LEVELS):
         again = F.col("size") > (region if level else 1)
         large = regions.where(again)
-        if large.isEmpty():
+        # As many nodes in as many large regions as before: these hold together by links, not by chance.
+        now = tuple(large.agg(F.count(F.lit(1)), F.count_distinct("region")).first())
+        if not now[0] or now == before:
             break
+        before = now if level else -1
         regions = materialize(regions.where(~again).unionByName(cut(agreements(brought(large)))), "regions")
-    sets = brought(regions)
+    sized = regions.join(rows.groupBy("node").agg(F.max("n").alias("set_size")), "node")
+    weights = sized.groupBy("region").agg(F.sum("set_size").alias("weight"))
+    blocks = F.greatest(F.ceil(F.col("size") / region), F.ceil(F.col("weight") / REGION_SHINGLES)).cast("int")
+    sets = brought(sized.join(weights, "region").select("node", "region", blocks.alias("blocks")), "blocks")
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # A compressed text takes a third of the bytes of its set, so texts travel and regions make the sets.
         press = zstandard.ZstdCompressor(level=3)
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([*map(batch.column, ("node", "region", "size")), pa.array([press.compress(x.as_py().encode().lower()) for x in batch.column("text")], pa.binary())], names=["node", "region", "size", "packed"])
+            yield pa.RecordBatch.from_arrays([*map(batch.column, ("node", "region", "blocks")), pa.array([press.compress(x.as_py().encode().lower()) for x in batch.column("text")], pa.binary())], names=["node", "region", "blocks", "packed"])
 
-    sets = sets.select("node", "region", "size", "text").mapInArrow(packed, "node long, region long, size long, packed binary")
-    blocks = F.ceil(F.col("size") / region).cast("int")
+    sets = sets.select("node", "region", "blocks", "text").mapInArrow(packed, "node long, region long, blocks int, packed binary")
     own = F.pmod(F.xxhash64("node"), F.col("blocks").cast("long")).cast("int")
     small = F.col("blocks") == 1
-    sets = sets.withColumn("blocks", blocks).withColumn("own", own)
+    sets = sets.withColumn("own", own)
     sets = sets.select("region", "node", "packed", "own", F.when(small, F.pmod(F.xxhash64("region"), F.lit(n_buckets * 4).cast("long"))).otherwise(F.col("region")).alias("g"), F.explode(F.when(small, F.array(F.lit(-1))).otherwise(F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: j != F.col("own")))).alias("other"))
     links = sets.groupBy("g", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j")).applyInArrow(lambda t: _join_regions(t, w, percent), "a long, b long")
     roots = connected_components(materialize(links, "links"))
