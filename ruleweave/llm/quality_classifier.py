@@ -28,8 +28,8 @@ from .common import WordHashes, materialize, release
 WORDS, PAIRS = 1 << 17, 1 << 16
 #: Labelled documents in the sample, of each kind at most.
 SAMPLE = 20_000
-#: Occurrences added to both of a bucket's counts, and how many standard deviations of chance a bucket must differ by.
-PRIOR, SIGMAS = 2.0, 5.0
+#: Occurrences added to both of a bucket's counts, and at how many standard deviations of chance a log ratio counts half.
+PRIOR, SIGMAS = 0.5, 3.5
 #: A good document lost counts as so many bad ones kept, where the offset is fitted.
 GOOD_WEIGHT = 3.0
 #: Scale of log weights before noise is added; a small one keeps noise to documents near the border.
@@ -55,6 +55,12 @@ def labelled_sample(labels: DataFrame, size: int = SAMPLE) -> DataFrame:
     return judged.groupBy("good", slot.alias("slot")).agg(F.min("l_id").alias("l_id")).select("l_id", "good")
 
 
+def shrinkage(count: np.ndarray, expected: np.ndarray) -> np.ndarray:
+    """How much of a log ratio is believed: from 0 to 1, without a cut, by the standard deviations between the counts."""
+    far = (np.abs(count - expected) / np.sqrt(expected + 1) / SIGMAS) ** 8
+    return far / (1 + far)
+
+
 def log_ratios(marked: DataFrame) -> np.ndarray | None:
     """log(target share / raw share) of every bucket; None without target text. marked: text, good."""
 
@@ -85,9 +91,8 @@ def log_ratios(marked: DataFrame) -> np.ndarray | None:
         order = np.argsort(rate)
         usual = rate[order][np.searchsorted(np.cumsum(r[order]), r.sum() / 2)]
         expected = r * (usual or t.sum() / r.sum())
-        # Buckets whose counts differ by no more than chance would add noise to each document's sum: they say nothing.
-        sure = np.abs(t - expected) > SIGMAS * np.sqrt(expected + 1)
-        out[part] = np.where(sure, np.log((t + PRIOR) / (expected + PRIOR)), 0)
+        # Counts that differ by little more than chance would add noise to each document's sum: their ratios shrink.
+        out[part] = np.log((t + PRIOR) / (expected + PRIOR)) * shrinkage(t, expected)
     return out
 
 

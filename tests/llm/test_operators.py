@@ -164,6 +164,15 @@ def test_classifier_keeps_good_and_drops_bad(spark):
     assert all(r.kept for r in quality_classifier.resample(docs, labels.limit(0)).collect())
 
 
+def test_classifier_learns_from_rare_one_sided_words(spark):
+    rng = np.random.default_rng(4)
+    toxic = lambda i: i % 25 == 0
+    docs = spark.createDataFrame([(i, " ".join(rng.choice(WORDS, 40)) + (" vile" if toxic(i) else "")) for i in range(600)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1, int(toxic(i))) for i in range(600)], "doc_id long, quality int, toxic int")
+    kept = {r.doc_id: r.kept for r in quality_classifier.resample(docs, labels).collect()}
+    assert sum(kept[i] for i in kept if toxic(i)) <= 2 and sum(kept[i] for i in kept if not toxic(i)) >= 0.95 * 576
+
+
 def test_kth_largest(spark):
     keys = np.random.default_rng(1).normal(size=5000).round(2)
     df = spark.createDataFrame([(float(x),) for x in keys], "key double")
