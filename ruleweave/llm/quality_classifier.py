@@ -1,10 +1,12 @@
-"""Quality classifier by importance resampling: hashed n-gram models of target and raw text, and Gumbel top-k.
+"""Quality classifier after importance resampling: weights from hashed n-gram models of target and raw text, and a fitted
+threshold in place of the draw.
 
 The target model counts, for each hashed word and word pair, the documents that hold it among a bounded sample of those
 labelled good (quality 1, not toxic); the raw model counts them over every document. A document's log weight is the sum
 of the log ratios of its n-grams, plus the offset (once and for each n-gram) that separates the sample's good documents
 from its bad ones best. The documents with the k largest sums of log weight and Gumbel noise are kept, k being the number of positive
-weights: noise settles only documents about as likely from either model.
+weights: noise is scaled to settle only documents about as likely from either model, so this is close to log weight > 0.
+The models count documents and not occurrences; neither is a generative model of text.
 
 Cases: a null text and one without words weigh 0 and are kept if their noise is; null and repeated doc_ids are rows like
 any other (equal rows get equal noise and stay or go together); labels without a document, null labels and repeated
