@@ -1,11 +1,13 @@
 """Quotation linking: nested quotes are parsed, matched to the messages they come from, and taken out of conversations.
 
 A line's quote level is the number of > before its content; consecutive lines of one level are a passage. Normalised
-passages (lower case, single spaces) are hashed, and so are each message's own text, its paragraphs and its lines.
-A passage comes from the first message of its conversation that says it, if that is earlier; else from the first
-message of the table that says it, if that is another. First messages are found by aggregation before the join, so a
-phrase that everyone uses has one row. A message replies to the source of its first linked passage of level 1, else to
-the turn before; parents come earlier, so a conversation in order of turn is in reply order.
+passages (lower case, single spaces) are hashed, and so are their paragraphs and lines; of each message's own text the
+whole, paragraphs, lines and all runs of as many consecutive lines (blank ones aside) as some passage or its paragraph
+has. A passage comes from where the most of its words in one piece come from: the first message of its conversation that
+says the piece, if that is earlier; else the first message of another conversation. First messages are found by
+aggregation before the join, so a phrase that everyone uses has one row. A message replies to the source of its first
+linked passage of level 1, else to the turn before; parents come earlier, so a conversation in order of turn is in reply
+order.
 
 Cases: a null or empty text is a message without words; passages without words link with nothing; rows without conv_id
 or turn are left out, as they have no place; rows that repeat conv_id and turn are messages of their own, in order of
@@ -52,37 +54,73 @@ def parse(text: str | None) -> tuple[str, list[tuple[int, str]]]:
     return "\n".join(own).strip("\n"), [(level, "\n".join(lines)) for level, lines in passages]
 
 
-def sayings(own: str) -> list[str]:
-    """Digests of a text, its paragraphs and its lines."""
-    return sorted({d for x in (own, *own.split("\n\n"), *own.split("\n")) if (d := digest(x))})
+def solid(text: str) -> list[str]:
+    """Lines that aren't blank."""
+    return [x for x in text.split("\n") if x.strip()]
+
+
+def parts(text: str) -> list[str]:
+    """A text, its paragraphs and its lines."""
+    return [text, *re.split(r"\n[ \t]*\n", text), *text.split("\n")]
+
+
+def sayings(own: str, lengths: Iterable[int] = ()) -> list[str]:
+    """Digests of a text, its paragraphs, its lines and its runs of so many lines."""
+    lines = solid(own)
+    runs = ("\n".join(lines[i : i + n]) for n in lengths for i in range(len(lines) - n + 1))
+    return sorted({d for x in (*parts(own), *runs) if (d := digest(x))})
+
+
+def pieces(passage: str) -> list[tuple[int, str]]:
+    """(-words, digest) of a passage, its paragraphs and its lines."""
+    return sorted({(-len(x.split()), d) for x in parts(passage) if (d := digest(x))})
+
+
+def run_lengths(messages: DataFrame) -> list[int]:
+    """Numbers of lines, two or more, of all passages and their paragraphs."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = {n for text in batch.column("text") for _, x in parse(text.as_py())[1] for y in parts(x) if (n := len(solid(y))) > 1}
+            yield pa.RecordBatch.from_arrays([pa.array(sorted(found), pa.int32())], names=["n"])
+
+    return sorted(r.n for r in messages.where("text RLIKE '(^|\\n)[ \\t]*>'").select("text").mapInArrow(run, "n int").distinct().collect())
 
 
 def link(messages: DataFrame) -> DataFrame:
     """conv_id, turn, role, own_text, position, max_level, n_quotes, n_linked, parent_conv and parent_turn of every message."""
 
+    named = messages.select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), F.col("role").cast("string"), F.xxhash64("role", "text").alias("id"), F.col("text").cast("string")).where("conv_id IS NOT NULL AND turn IS NOT NULL")
+    lengths = run_lengths(named)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        passage = pa.list_(pa.struct([("place", pa.int32()), ("level", pa.int32()), ("h", pa.string())]))
+        passage = pa.list_(pa.struct([("level", pa.int32()), ("pieces", pa.list_(pa.struct([("size", pa.int32()), ("h", pa.string())])))]))
         for batch in batches:
             own, said, quoted = [], [], []
             for text in batch.column("text"):
                 mine, passages = parse(text.as_py())
                 own.append(mine)
-                said.append(sayings(mine))
-                quoted.append([{"place": i, "level": level, "h": digest(x)} for i, (level, x) in enumerate(passages)])
+                said.append(sayings(mine, lengths))
+                quoted.append([{"level": level, "pieces": [{"size": n, "h": d} for n, d in pieces(x)]} for level, x in passages])
             yield pa.RecordBatch.from_arrays([batch.column(c) for c in ("conv_id", "turn", "role", "id")] + [pa.array(own, pa.string()), pa.array(said, pa.list_(pa.string())), pa.array(quoted, passage)], names=["conv_id", "turn", "role", "id", "own_text", "said", "quoted"])
 
-    named = messages.select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), F.col("role").cast("string"), F.xxhash64("role", "text").alias("id"), F.col("text").cast("string")).where("conv_id IS NOT NULL AND turn IS NOT NULL")
-    parsed = materialize(named.mapInArrow(run, "conv_id long, turn long, role string, id long, own_text string, said array<string>, quoted array<struct<place:int,level:int,h:string>>"), "messages")
+    parsed = materialize(named.mapInArrow(run, "conv_id long, turn long, role string, id long, own_text string, said array<string>, quoted array<struct<level:int,pieces:array<struct<size:int,h:string>>>>"), "messages")
     said = parsed.select("conv_id", "turn", F.explode("said").alias("h"))
     here = said.groupBy("h", F.col("conv_id").alias("conv")).agg(F.min("turn").alias("here"))
     anywhere = here.groupBy("h").agg(F.min(F.struct("conv", "here")).alias("first"))
-    quotes = parsed.select("conv_id", "turn", "id", F.explode("quoted").alias("q")).select("conv_id", "turn", "id", "q.*")
+    quotes = parsed.select("conv_id", "turn", "id", F.posexplode("quoted").alias("place", "q")).select("conv_id", "turn", "id", "place", "q.level", F.explode("q.pieces").alias("p")).select("conv_id", "turn", "id", "place", "level", "p.*").distinct()
     found = quotes.join(here, (quotes.h == here.h) & (quotes.conv_id == here.conv), "left").drop(here.h).drop("conv")
     found = found.join(anywhere, "h", "left")
-    same, other = F.col("here") < F.col("turn"), F.col("first.conv") != F.col("conv_id")
-    source = F.when(same, F.struct(F.col("conv_id").alias("conv"), F.col("here").alias("turn"))).when(other, F.struct(F.col("first.conv").alias("conv"), F.col("first.here").alias("turn")))
-    found = found.withColumn("source", source)
-    per = found.groupBy("conv_id", "turn", "id").agg(F.count("source").alias("linked"), F.min(F.when((F.col("level") == 1) & F.col("source").isNotNull(), F.struct("place", "source"))).alias("best"))
+    same = F.col("here") < F.col("turn")
+    # Where the table's first saying is in the quoter's own conversation, the first of the others is looked up too.
+    owned = found.where((F.col("first.conv") == F.col("conv_id")) & ~F.coalesce(same, F.lit(False))).select("h", F.col("conv_id").alias("own_conv")).distinct()
+    second = here.join(owned, "h").where("conv != own_conv").groupBy("h").agg(F.min(F.struct("conv", "here")).alias("second"))
+    found = found.join(second, "h", "left")
+    other = F.when(F.col("first.conv") != F.col("conv_id"), F.col("first")).otherwise(F.col("second"))
+    source = F.when(same, F.struct(F.col("conv_id").alias("conv"), F.col("here").alias("turn"))).when(other.isNotNull(), F.struct(other["conv"].alias("conv"), other["here"].alias("turn")))
+    found = found.withColumn("source", source).where("source IS NOT NULL")
+    found = found.groupBy("conv_id", "turn", "id", "place", "level").agg(F.min(F.struct("size", "h", "source"))["source"].alias("source"))
+    per = found.groupBy("conv_id", "turn", "id").agg(F.count("source").alias("linked"), F.min(F.when(F.col("level") == 1, F.struct("place", "source"))).alias("best"))
     size = F.coalesce(F.size("quoted"), F.lit(0))
     w = Window.partitionBy("conv_id").orderBy("turn", "id", "own_text")
     ordered = parsed.withColumns({"position": F.row_number().over(w).cast("long"), "before": F.lag("turn").over(w)})

@@ -241,6 +241,25 @@ def test_quotations(spark):
     assert pick(3, 0) == ("", 1, 1, 0, None, None)
 
 
+def test_partial_quotations(spark):
+    rows = [
+        (1, 0, "user", "Alpha one.\nBeta two.\nGamma three."),
+        (1, 1, "assistant", "First part.\n\nSecond part.\n\nThird part."),
+        (1, 2, "user", "Between."),
+        (1, 3, "user", "> Beta two.\n> gamma  three.\nSo?"),
+        (1, 4, "user", "> First part.\n>\n> Second part.\nFine."),
+        (1, 5, "user", "> Alpha one.\n> [...]\n> Gamma three.\nAnd?"),
+        (1, 6, "user", "> Said later.\nHm."),
+        (1, 7, "user", "Said later."),
+        (2, 0, "user", "Said later."),
+        (3, 0, "user", "> Beta two.\n> First part.\n> Not said.\nMixed."),
+    ]
+    got = {(r.conv_id, r.turn): (r.n_quotes, r.n_linked, r.parent_conv, r.parent_turn) for r in quotations.link(spark.createDataFrame(rows + rows[3:4], "conv_id long, turn long, role string, text string")).collect()}
+    assert got[1, 3] == (1, 1, 1, 0) and got[1, 4] == (1, 1, 1, 1) and got[1, 5] == (1, 1, 1, 0)
+    assert got[1, 6] == (1, 1, 2, 0)
+    assert got[3, 0][1] == 1 and got[3, 0][2] == 1
+
+
 def test_empty_tables(spark):
     import public_tokenizers
 
