@@ -2,8 +2,9 @@
 
 Two recurrent passes read the bytes of a text in strips; both states label every position, and a document's language
 is the mean of the probabilities at its letters. Training is backpropagation through time with Adam on strips of a
-bounded sample of labelled documents (at most train_docs for each language and train_strips strips in all); prediction reads whole
-texts. The gates and the state use x / (1 + |x|), whose slope is 1 / (1 + |x|)**2.
+sample of labelled documents bounded for each language (at most train_docs texts, WINDOWS strips of a text, train_strips
+strips; a long text's strips begin at hashed places of the whole text); every label that is not null is learned, and steps
+grow with the labels. Prediction reads whole texts. The gates and the state use x / (1 + |x|), whose slope is 1 / (1 + |x|)**2.
 
 Cases: a null text or one without a letter is `und` with score 0; null and repeated doc_ids are rows like any other;
 with no labelled document every text is `und`; a single language is predicted with certainty; an empty table gives an
@@ -26,8 +27,11 @@ from .common import texts
 HIDDEN = 8
 STRIP = 256
 TRAIN_DOCS = 400
-TRAIN_STRIPS = 4096
-STEPS = 300
+#: Strips of one text and of one language at most.
+WINDOWS = 4
+TRAIN_STRIPS = 1024
+#: Steps of training for each STEP_LANGUAGES languages.
+STEPS, STEP_LANGUAGES = 300, 4
 _BATCH = 64
 _letter = regex.compile(r"\p{L}").search
 #: Bytes that letters consist of: a-z, A-Z and all of a multi-byte character.
@@ -160,24 +164,28 @@ def strips_of(data: bytes, size: int = STRIP) -> np.ndarray:
     return out
 
 
-def train(labelled: DataFrame, train_docs: int = TRAIN_DOCS, train_strips: int = TRAIN_STRIPS, steps: int = STEPS, seed: int = 7, max_languages: int = 64) -> Network | None:
-    """Fit on the first train_docs texts of each language in an order of digests; None if there is no text.
+def windows(seed: int):
+    """A short text whole, else WINDOWS pieces of STRIP characters from hashed places."""
+    n = F.char_length("text")
+    start = lambda i: F.pmod(F.xxhash64(F.lit(seed + 1 + i), "text"), (n - STRIP + 1).cast("long")).cast("int") + 1
+    return F.when(n <= WINDOWS * STRIP, F.array("text")).otherwise(F.array(*[F.substring(F.col("text"), start(i), F.lit(STRIP)) for i in range(WINDOWS)]))
 
-    max_languages bounds the sample: the most frequent languages are learned.
-    """
-    rows = labelled.select("text", "lang").where("lang IS NOT NULL AND text RLIKE '\\\\p{L}'").select(F.substring("text", 1, 8 * STRIP).alias("text"), "lang", F.xxhash64(F.lit(seed), "text").alias("o"))
-    often = [r.lang for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_languages).collect()]
-    if not often:
-        return None
+
+def train(labelled: DataFrame, train_docs: int = TRAIN_DOCS, train_strips: int = TRAIN_STRIPS, steps: int = STEPS, seed: int = 7) -> Network | None:
+    """Fit on the first train_docs texts of each language in an order of digests; None if there is no text."""
+    rows = labelled.select("text", "lang").where("lang IS NOT NULL AND text RLIKE '\\\\p{L}'").select(windows(seed).alias("texts"), "lang", F.xxhash64(F.lit(seed), "text").alias("o"))
     # The least digests of a language, kept by partial aggregation: no sort of all rows.
-    part = rows.where(F.col("lang").isin(often)).groupBy("lang", F.pmod("o", F.lit(train_docs).cast("long")).alias("slot")).agg(F.min(F.struct("o", "text")).alias("t"))
+    part = rows.groupBy("lang", F.pmod("o", F.lit(train_docs).cast("long")).alias("slot")).agg(F.min(F.struct("o", "texts")).alias("t"))
     got: dict[str, list[np.ndarray]] = {}
-    for r in sorted(part.select("lang", "t.text", "t.o").collect(), key=lambda r: (r.lang, r.o)):
-        got.setdefault(r.lang, []).append(strips_of(r.text.encode()[: 4 * STRIP]))
-    labels, each = sorted(got), max(1, train_strips // len(got))
-    strips = [np.concatenate(got[k])[:each] for k in labels]
+    for r in sorted(part.select("lang", "t.texts", "t.o").collect(), key=lambda r: (r.lang, r.o)):
+        # A piece of STRIP characters fills one strip at least; a short text all of its strips, WINDOWS at most.
+        got.setdefault(r.lang, []).extend(strips_of(x.encode())[: 1 if len(r.texts) > 1 else WINDOWS] for x in r.texts)
+    if not got:
+        return None
+    labels = sorted(got)
+    strips = [np.concatenate(got[k])[:train_strips] for k in labels]
     net = Network(labels, seed=seed)
-    net.fit(np.concatenate(strips), np.repeat(np.arange(len(labels)), [len(s) for s in strips]), steps)
+    net.fit(np.concatenate(strips), np.repeat(np.arange(len(labels)), [len(s) for s in strips]), steps * -(-len(labels) // STEP_LANGUAGES))
     return net
 
 

@@ -207,6 +207,19 @@ def test_network_slopes_and_languages(spark):
     assert all(r.lang_pred == "und" for r in language_id.predict(docs, None).collect())
 
 
+def test_every_language_is_learned_from_whole_texts(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(language_id.Network, "fit", lambda self, strips, target, steps: seen.append((strips, target, steps)))
+    header = "licence " * 400
+    rows = [(header + f"body{j} " * 3000, "en") for j in range(5)] + [("short text", f"l{i:02}") for i in range(70)] + [("no label", None)]
+    net = language_id.train(spark.createDataFrame(rows, "text string, lang string"), train_strips=16)
+    strips, target, steps = seen[0]
+    assert net.labels == ["en", *(f"l{i:02}" for i in range(70))] and steps == 300 * 18
+    assert Counter(target.tolist()) == {0: 16} | {i: 1 for i in range(1, 71)}
+    held = [bytes(x[x < 256].astype(np.uint8)) for x in strips[target == 0]]
+    assert sum(b"body" in x for x in held) >= 12 and all(len(x) == 256 for x in held)
+
+
 def test_training_order(spark, docs):
     for n in (1, 2, 5, 64, 1000):
         assert sorted(training_order.slots(np.arange(n), n).tolist()) == list(range(n))
