@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import ctypes
+import re
 import string
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -16,6 +18,7 @@ from pyspark.sql import functions as F
 
 #: Python's bytes.split() splits at exactly these characters: [\x20\x09-\x0D].
 SPACE = r"[\x20\x09-\x0D]"
+_space = re.compile(SPACE.encode()).search
 
 _own_dir: dict[str, str] = {}
 
@@ -95,7 +98,7 @@ class WordHashes(dict):
     """bytes -> 64-bit hash, remembered up to a bound."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 250_000:
+        if len(self) > 100_000:
             self.clear()
         h = self[word] = xxhash.xxh3_64_intdigest(word)
         return h
@@ -104,6 +107,18 @@ class WordHashes(dict):
         return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
 
 
+def word_runs(data: bytes, size: int = 1 << 20) -> Iterator[list[bytes]]:
+    """The words of a text in order, of about size bytes at a time, so that a very long text is never split at once."""
+    at = 0
+    while at < len(data):
+        end = len(data)
+        if end - at > size:
+            space = _space(data, at + size)
+            end = space.start() if space else end
+        yield data[at:end].split()
+        at = end
+
+
 def mix(h: np.ndarray) -> np.ndarray:
     """Finalise 64-bit values so that every bit depends on all (splitmix64)."""
     h = h ^ (h >> np.uint64(30))

@@ -1,10 +1,10 @@
 """Removal of repeated passages by Rabin-Karp hashes of every window of words.
 
-Each block of documents hashes every window with a rolling polynomial over 64-bit word hashes. Windows that repeat
+Each block of windows hashes every window with a rolling polynomial over 64-bit word hashes. Windows that repeat
 within a block are settled there; the first of each is shipped, packed by hash bucket with its document and start. A
 bucket counts its hashes over the whole table and names the windows that have an earlier occurrence; their starts are
 merged into maximal removal intervals for each document. A window in a third of all rows costs a bucket one entry for
-each block, never one for each row.
+each block, never one for each row. A very long text is hashed piece by piece and fills several blocks.
 
 A window is known by 64 bits: n windows hold about n*n / 2**65 false pairs (none expected below 10**9 windows).
 
@@ -22,13 +22,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, broadcast_if_small, bucket_of, buckets_for, keyed, materialize, mix, pack, text_bytes, unpack
+from .common import WordHashes, broadcast_if_small, bucket_of, buckets_for, keyed, materialize, mix, pack, release, text_bytes, unpack, word_runs
 
 WINDOW = 20
-#: Words of a block; a longer text forms a block alone.
-BLOCK = 2_000_000
+#: Windows of a block.
+BLOCK = 400_000
 #: Bytes of text for each hash bucket; a bucket holds about a sixth as many windows.
-BUCKET_BYTES = 12 << 20
+BUCKET_BYTES = 8 << 20
 _BASE = 0x9E3779B97F4A7C15 | 1
 _LAST = np.iinfo(np.int64).max  # stands for a null doc_id
 
@@ -85,68 +85,87 @@ def _by_part(ids: np.ndarray, ks: np.ndarray, starts: np.ndarray, n_parts: int)
             yield int(part[own[0]]), _pack_places(ids[own], ks[own], starts[own])
 
 
-def _windows(batches: Iterator[pa.RecordBatch], w: int, n_buckets: int) -> Iterator[pa.RecordBatch]:
+def _windows(batches: Iterator[pa.RecordBatch], w: int, n_buckets: int, block: int) -> Iterator[pa.RecordBatch]:
     """Rows of a bucket: hashes and their places; rows of bucket -1 - part: places that a block itself finds repeated."""
     roll, hashes = Rolling(w), WordHashes()
-    ids, ks, found, total = [], [], [], 0
+    ids, ks, bases, found, total = [], [], [], [], 0
 
     def flush() -> pa.RecordBatch:
-        doc_ids, keys = np.array(ids, np.int64), np.array(ks, np.int64)
-        order = np.lexsort((keys, doc_ids))
+        doc_ids, keys, base = np.array(ids, np.int64), np.array(ks, np.int64), np.array(bases, np.int64)
+        order = np.lexsort((base, keys, doc_ids))
         sizes = np.array([len(found[i]) for i in order], np.int64)
         h = np.concatenate([found[i] for i in order])
-        which = np.repeat(order, sizes)
-        start = np.arange(len(h)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-        by_hash = np.argsort(h, kind="stable")
+        for x in (ids, ks, bases, found):
+            x.clear()
+        which = np.repeat(order.astype(np.int32), sizes)
+        start = np.arange(len(h)) - np.repeat(np.cumsum(sizes) - sizes - base[order], sizes)
+        by_hash = np.argsort(h, kind="stable").astype(np.int32)
         first = np.zeros(len(h), bool)
         first[by_hash] = _runs(h[by_hash])
         # A repeated row finds each window at the same place of the same document: that is no earlier occurrence.
-        lead = by_hash[np.maximum.accumulate(np.where(first[by_hash], np.arange(len(h)), 0))]
+        lead = by_hash[np.maximum.accumulate(np.where(first[by_hash], np.arange(len(h), dtype=np.int32), 0))]
         later = np.zeros(len(h), bool)
         later[by_hash] = ~((doc_ids[which[by_hash]] == doc_ids[which[lead]]) & (keys[which[by_hash]] == keys[which[lead]]) & (start[by_hash] == start[lead]))
+        del by_hash, lead
         out = [(-1 - part, None, at) for part, at in _by_part(doc_ids[which[later]], keys[which[later]], start[later], n_buckets)]
         keep = np.flatnonzero(first)
         bucket = bucket_of(h[keep], n_buckets)
         keep = keep[np.argsort(bucket, kind="stable")]
-        sizes = np.bincount(bucket, minlength=n_buckets)
-        for b, part in zip(range(n_buckets), np.split(keep, np.cumsum(sizes)[:-1]), strict=True):
-            if len(part):
-                out.append((b, h[part].tobytes(), _pack_places(doc_ids[which[part]], keys[which[part]], start[part])))
-        ids.clear()
-        ks.clear()
-        found.clear()
+        upto = np.cumsum(np.bincount(bucket, minlength=n_buckets))
+        for b in np.unique(bucket).tolist():
+            part = keep[upto[b - 1] if b else 0 : upto[b]]
+            out.append((b, h[part].tobytes(), _pack_places(doc_ids[which[part]], keys[which[part]], start[part])))
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int32(), pa.binary(), pa.binary()), strict=True)], names=["bucket", "h", "at"])
 
     for batch in batches:
         for doc_id, k, text in zip(batch.column("doc_id").to_pylist(), batch.column("k").to_pylist(), batch.column("text"), strict=True):
-            text = text.as_py()
-            got = roll(hashes.of(text.encode().split())) if text else np.zeros(0, np.uint64)
-            if len(got):
-                ids.append(_LAST if doc_id is None else doc_id)
-                ks.append(k)
-                found.append(got)
-                total += len(got)
-            if total >= BLOCK:
-                yield flush()
-                total = 0
+            data, rest, at = (text.as_py() or "").encode(), np.zeros(0, np.uint64), 0
+            for words in word_runs(data):
+                rest = np.concatenate((rest, hashes.of(words)))
+                got = roll(rest)
+                if len(got):
+                    ids.append(_LAST if doc_id is None else doc_id)
+                    ks.append(k)
+                    bases.append(at)
+                    found.append(got)
+                    at += len(got)
+                    total += len(got)
+                    rest = rest[len(got) :]
+                if total >= block:
+                    yield flush()
+                    total = 0
     if found:
         yield flush()
+    del roll, hashes
+    release()
 
 
 def _count(t: pa.Table, n_parts: int) -> pa.Table:
     """The places of a bucket's windows that also occur earlier, by part; what a block has settled passes."""
     if t.num_rows and (bucket := t.column("bucket")[0].as_py()) < 0:
         return pa.table([pa.array([-1 - bucket] * t.num_rows, pa.int32()), t.column("at")], names=["part", "at"])
-    h = np.concatenate([np.frombuffer(x.as_py(), np.uint64) for x in t.column("h")])
-    ids, ks, starts = map(np.concatenate, zip(*(_unpack_places(x.as_py()) for x in t.column("at")), strict=True))
-    ordered = np.sort(h)
+    ordered = np.concatenate([np.frombuffer(x.as_buffer(), np.uint64) for x in t.column("h")])
+    ordered.sort()
     repeated = np.unique(ordered[1:][ordered[1:] == ordered[:-1]])
-    some = np.flatnonzero(repeated[np.minimum(np.searchsorted(repeated, h), len(repeated) - 1)] == h) if len(repeated) else np.zeros(0, np.int64)
-    some = some[np.lexsort((starts[some], ks[some], ids[some], h[some]))]
-    h, ids, ks, starts = h[some], ids[some], ks[some], starts[some]
-    lead = np.maximum.accumulate(np.where(_runs(h), np.arange(len(h)), 0)) if len(h) else some
-    later = (ids != ids[lead]) | (ks != ks[lead]) | (starts != starts[lead])
-    rows = list(_by_part(ids[later], ks[later], starts[later], n_parts))
+    del ordered
+    held = []
+    if len(repeated):
+        for x, at in zip(t.column("h"), t.column("at"), strict=True):
+            h = np.frombuffer(x.as_buffer(), np.uint64)
+            some = np.flatnonzero(repeated[np.minimum(np.searchsorted(repeated, h), len(repeated) - 1)] == h)
+            if len(some):
+                held.append((h[some], *(y[some] for y in _unpack_places(at.as_py()))))
+    rows = []
+    if held:
+        h, ids, ks, starts = map(np.concatenate, zip(*held, strict=True))
+        order = np.lexsort((starts, ks, ids, h))
+        h, ids, ks, starts = h[order], ids[order], ks[order], starts[order]
+        lead = np.maximum.accumulate(np.where(_runs(h), np.arange(len(h)), 0))
+        later = (ids != ids[lead]) | (ks != ks[lead]) | (starts != starts[lead])
+        rows = list(_by_part(ids[later], ks[later], starts[later], n_parts))
+        del h, ids, ks, starts, order, lead, held
+    del repeated
+    release()
     return pa.table([pa.array([x for x, _ in rows], pa.int32()), pa.array([x for _, x in rows], pa.binary())], names=["part", "at"])
 
 
@@ -161,22 +180,24 @@ def _merge(t: pa.Table, window: int) -> pa.Table:
     spans = np.stack((starts[begin], starts[end] + window), 1).astype(np.int32)
     docs = np.flatnonzero(new[begin])
     cuts = [*docs.tolist(), len(begin)]
+    del order, starts, new
+    release()
     return pa.table([pa.array(ids[begin][docs]), pa.array(ks[begin][docs]), pa.array([spans[i:j].tobytes() for i, j in zip(cuts, cuts[1:], strict=False)], pa.binary())], names=["doc_id", "k", "spans"])
 
 
-def removals(docs: DataFrame, window: int = WINDOW) -> DataFrame:
+def removals(docs: DataFrame, window: int = WINDOW, block: int = BLOCK) -> DataFrame:
     """doc_id (its largest value for null), k and spans: the maximal removal intervals as packed (start, end) words."""
     n_buckets = buckets_for(text_bytes(docs), BUCKET_BYTES)
     rows = keyed(docs).withColumn("doc_id", F.col("doc_id").cast("long"))
-    rows = rows.mapInArrow(lambda it: _windows(it, window, n_buckets), "bucket int, h binary, at binary")
+    rows = rows.mapInArrow(lambda it: _windows(it, window, n_buckets, block), "bucket int, h binary, at binary")
     places = rows.groupBy("bucket").applyInArrow(lambda t: _count(t, n_buckets), "part int, at binary")
     return materialize(places.groupBy("part").applyInArrow(lambda t: _merge(t, window), "doc_id long, k long, spans binary"), "removals")
 
 
-def dedup_substrings(docs: DataFrame, window: int = WINDOW) -> DataFrame:
+def dedup_substrings(docs: DataFrame, window: int = WINDOW, block: int = BLOCK) -> DataFrame:
     """doc_id, n_words, n_removed, kept_text (kept words joined by a space) and spans of removed words, of every row."""
     id_type = docs.schema["doc_id"].dataType.simpleString()
-    gone = removals(docs, window)
+    gone = removals(docs, window, block)
     gone = broadcast_if_small(gone.select(F.col("doc_id").alias("g_id"), F.col("k").alias("g_k"), "spans"), "spans")
     base = keyed(docs)
     met = base.join(gone, (F.coalesce(F.col("doc_id").cast("long"), F.lit(int(_LAST))) == F.col("g_id")) & (F.col("k") == F.col("g_k")), "left").select("doc_id", "text", "spans")
@@ -193,6 +214,7 @@ def dedup_substrings(docs: DataFrame, window: int = WINDOW) -> DataFrame:
                 removed.append(n[-1] - len(words))
                 kept.append(b" ".join(words).decode())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.string()), pa.array(spans, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))], names=["doc_id", "n_words", "n_removed", "kept_text", "spans"])
+        release()
 
     return met.mapInArrow(cut, f"doc_id {id_type}, n_words long, n_removed long, kept_text string, spans array<struct<start:int,end:int>>")
 

@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 
 from ruleweave.llm import bpe, decontaminate, jaccard_join, language_id, line_dedup, quality_classifier, quality_rules, quotations, substring_dedup, training_order
+from ruleweave.llm.common import word_runs
 from ruleweave.llm.components import connected_components
 
 SCHEMA = "doc_id long, text string, lang string, k long, h string, lines int"
@@ -54,8 +55,16 @@ def test_line_dedup(docs):
     assert got == want and any(r[2] for r in want)
 
 
-@pytest.mark.parametrize("window", [20, 3])
-def test_substring_dedup(docs, window):
+def test_word_runs():
+    data = " ".join(f"word{i}" for i in range(500)).encode() + b"\t\n" + b"x" * 300 + b" end "
+    for size in (1, 7, 64, 10_000):
+        runs = list(word_runs(data, size))
+        assert [w for r in runs for w in r] == data.split() and (size > 64 or len(runs) > 20)
+    assert list(word_runs(b"")) == []
+
+
+@pytest.mark.parametrize(("window", "block"), [(20, 400_000), (3, 400_000), (20, 100), (3, 7)])
+def test_substring_dedup(docs, window, block):
     rows = sorted(set(texts()), key=lambda r: (r[0] is None, r[0] or 0))
     seen, gone = set(), defaultdict(set)
     for i, t in rows:
@@ -66,7 +75,7 @@ def test_substring_dedup(docs, window):
                 gone[i, t] |= set(range(s, s + window))
             seen.add(g)
     want = Counter((i, len(words(t)), len(gone[i, t]), " ".join(w for p, w in enumerate(words(t)) if p not in gone[i, t])) for i, t in texts())
-    got = Counter((r.doc_id, r.n_words, r.n_removed, r.kept_text) for r in substring_dedup.dedup_substrings(docs, window).collect())
+    got = Counter((r.doc_id, r.n_words, r.n_removed, r.kept_text) for r in substring_dedup.dedup_substrings(docs, window, block).collect())
     assert got == want and any(gone.values())
 
 
