@@ -1,78 +1,91 @@
 """Benchmark decontamination with DataFrame functions only.
 
-Every benchmark item becomes its windows of 13 normalised words (a shorter item is one window). A document's words are
-scanned in place: at each anchor - a window's longest word - the windows around it are hashed and looked up in the hash
-set of all benchmark windows, which travels with the plan; only hits leave the document, and each is verified against
-the item's words. Each window holds an anchor, so no occurrence is missed. The hash set is used while the benchmark has
-at most max_windows windows; a larger benchmark is met by a shuffle join on the hash of every document window instead.
-
-Cases: null or wordless texts have no words and no hits; null and repeated doc_ids keep their rows (rows of the same
-doc_id and text get the same result); a null item_id matches but isn't listed; an item_id that repeats counts once;
-empty tables give no hits; other columns are ignored.
+Every benchmark item becomes its windows of 13 normalised words (a shorter item is one window). The set of their hashes
+is broadcast, and so are their anchors: of each window the pair of neighbouring words with the most characters, and its
+place in the window. Document words are scanned in place; where a pair is an anchor, the window around it is hashed and
+looked up, and each hit is verified against the item's words. Each window holds its anchor, so no occurrence is missed.
+At most max_windows windows are broadcast at once, in blocks by hash; a larger benchmark takes a scan for each block, by
+the same plan, so results hang on no size and no document word is shuffled.
+
+Cases: null or wordless texts have no words and no hits; very long texts are scanned whole; null and repeated doc_ids
+keep their rows (rows of the same doc_id and text get the same result); a null item_id matches but isn't listed; an
+item_id that repeats counts once; only A-Z are lower-cased, other letters match as they are; ids may have any type that
+casts to a string; empty tables give no hits; other columns are ignored.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import ascii_lower, keyed, materialize
 
 WINDOW = 13
-MAX_WINDOWS = 200_000
-_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+#: Windows broadcast at once, about 200 bytes each.
+MAX_WINDOWS = 250_000
+_WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
 def words_of(text: Column) -> Column:
-    """The words in their own case; letters A-Z are lower-cased only where words are compared."""
-    return F.coalesce(F.regexp_extract_all(text, F.lit(_WORD), F.lit(0)), F.array().cast("array<string>"))
+    return F.coalesce(F.regexp_extract_all(ascii_lower(text), F.lit(_WORD), F.lit(0)), F.array().cast("array<string>"))
 
 
 def joined(words: Column, start: Column, n: Column) -> Column:
-    """n words from the 0-based start as one normalised string."""
-    return ascii_lower(F.array_join(F.slice(words, start + 1, n), " "))
+    """n words from the 0-based start as one string."""
+    return F.array_join(F.slice(words, start + 1, n), " ")
+
+
+def pair_key(first: Column, second: Column) -> Column:
+    """Hash of two neighbours; of the first alone where there is no second."""
+    return F.when(second.isNull(), F.xxhash64(F.lit(1), first)).otherwise(F.xxhash64(F.lit(2), first, second))
 
 
 def benchmark_windows(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """item_id, w (normalised words of a window), n (its words), anchor (its longest word) and h (its hash)."""
+    """item_id, w (words of a window), n (how many), h (its hash), key (hash of its anchor) and o (the anchor's place)."""
     items = benchmark.select("item_id", words_of(F.col("text")).alias("words")).where(F.size("words") > 0)
     items = items.select("item_id", "words", F.least(F.lit(window), F.size("words")).alias("n"))
     starts = items.select("item_id", "words", "n", F.explode(F.sequence(F.lit(0), F.size("words") - F.col("n"))).alias("s"))
-    w = starts.select("item_id", "n", joined(F.col("words"), F.col("s"), F.col("n")).alias("w")).distinct()
-    longest = F.get(F.sort_array(F.transform(F.split("w", " "), lambda x: F.struct((-F.char_length(x)).alias("l"), x.alias("x")))), F.lit(0))["x"]
-    return w.select("item_id", "w", "n", longest.alias("anchor"), F.xxhash64("w").alias("h"))
+    w = starts.select("item_id", "n", joined(F.col("words"), F.col("s"), F.col("n")).alias("w")).distinct().withColumn("ws", F.split("w", " "))
+    length = lambda i: F.char_length(F.get("ws", i)) + F.coalesce(F.char_length(F.get("ws", i + 1)), F.lit(0))
+    best = F.array_max(F.transform(F.sequence(F.lit(0), F.greatest(F.col("n") - 2, F.lit(0))), lambda i: F.struct(length(i).alias("size"), (-i).alias("o"))))
+    w = w.withColumn("o", -best["o"])
+    return w.select("item_id", "w", "n", F.xxhash64("w").alias("h"), pair_key(F.get("ws", F.col("o")), F.get("ws", F.col("o") + 1)).alias("key"), "o")
 
 
 def scan(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, max_windows: int = MAX_WINDOWS) -> tuple[DataFrame, DataFrame]:
-    """(documents with doc_id, k, n_words; verified hits with doc_id, k, item_id, s, n). Both are written tables."""
+    """(documents with doc_id, k, n_words; verified hits with doc_id, k, item_id, s, n)."""
     wins = materialize(benchmark_windows(benchmark, window), "benchmark-windows")
     words = keyed(docs).select("doc_id", "k", words_of(F.col("text")).alias("words"))
-    if wins.count() <= max_windows:
-        known = wins.select("h", "n", "anchor").distinct().collect()
-        anchors, hashes = sorted({r.anchor.lower() for r in known}), sorted({r.h for r in known})
-        combos = [(o, n) for n in sorted({r.n for r in known}) for o in range(n)]
-        # Spark's lower() knows more letters than A-Z: that can only add places to look at.
-        places = F.filter(F.sequence(F.lit(0), F.size("words") - 1), lambda i: F.lower(F.get("words", i)).isin(anchors))
-        around = lambda i: F.array(*[F.struct((i - o).alias("s"), F.lit(n).alias("n")) for o, n in combos])
-        fits = lambda c: (c["s"] >= 0) & (c["s"] + c["n"] <= F.size("words"))
-        hashed = lambda c: F.struct(c["s"].alias("s"), c["n"].alias("n"), F.xxhash64(joined(F.col("words"), c["s"], c["n"])).alias("h"))
-        found = F.flatten(F.transform(places, lambda i: F.filter(F.transform(F.filter(around(i), fits), hashed), lambda c: c["h"].isin(hashes)))) if combos else None
-        some = F.when(F.size("words") > 0, F.array_distinct(found)) if combos else F.lit(None)
-        kind = "array<struct<s:int,n:int,h:bigint,w:string>>"
-        with_text = F.transform(some, lambda c: F.struct(c["s"].alias("s"), c["n"].alias("n"), c["h"].alias("h"), joined(F.col("words"), c["s"], c["n"]).alias("w"))) if combos else F.lit(None)
-        seen = materialize(words.select("doc_id", "k", F.size("words").cast("long").alias("n_words"), with_text.cast(kind).alias("hits")), "decontaminate")
-        places = seen.select("doc_id", "k", F.explode("hits").alias("c")).select("doc_id", "k", "c.*")
-        return seen.drop("hits"), places.join(wins.select("h", "w", "item_id"), ["h", "w"]).select("doc_id", "k", "item_id", "s", "n")
-    seen = materialize(words.select("doc_id", "k", F.size("words").cast("long").alias("n_words")), "decontaminate")
-    sizes = F.array(*[F.lit(r.n) for r in wins.select("n").distinct().collect()])
-    places = words.select("doc_id", "k", "words", F.explode(sizes).alias("n")).where("size(words) >= n")
-    places = places.select("doc_id", "k", "n", F.posexplode(F.transform(F.sequence(F.lit(0), F.size("words") - F.col("n")), lambda i: joined(F.col("words"), i, F.col("n")))).alias("s", "w"))
-    return seen, places.join(wins.select("n", "w", "item_id"), ["n", "w"]).select("doc_id", "k", "item_id", "s", "n")
-
+    # A first row without a word stands for the document itself.
+    rows = words.select("doc_id", "k", "words", F.posexplode(F.concat(F.array(F.lit(None).cast("string")), F.col("words"))).alias("i", "word"))
+    rows = rows.withColumns({"i": F.col("i") - 1, "after": F.get("words", F.col("i"))})
+    n_windows, least = wins.agg(F.count(F.lit(1)), F.min("n")).first()
+    n_blocks = max(1, -(-n_windows // max_windows))
+    parts = []
+    for b in range(n_blocks):
+        own = wins.where(F.pmod(F.xxhash64("w", F.lit(b"block")), F.lit(n_blocks)) == b) if n_blocks > 1 else wins
+        anchors = F.broadcast(own.select("key", "n", "o").distinct())
+        hashes = F.broadcast(own.select(F.col("h").alias("w_h"), F.col("n").alias("w_n"), "w", "item_id"))
+        keys = pair_key(F.col("word"), F.col("after"))
+        if least == 1:  # an item of one word is met at every word, last or not
+            keyed_rows = rows.withColumn("key", F.explode(F.when(F.col("word").isNull() | F.col("after").isNull(), F.array(keys)).otherwise(F.array(keys, pair_key(F.col("word"), F.lit(None).cast("string"))))))
+        else:
+            keyed_rows = rows.withColumn("key", keys)
+        head = F.col("word").isNull()
+        some = keyed_rows.withColumn("key", F.when(~head, F.col("key"))).join(anchors, "key", "left")
+        start = F.col("i") - F.col("o")
+        fits = (start >= 0) & (start + F.col("n") <= F.size("words"))
+        some = some.where(head | fits).withColumns({"s": start, "own": joined(F.col("words"), start, F.col("n"))})
+        some = some.join(hashes, (F.xxhash64("own") == F.col("w_h")) & (F.col("n") == F.col("w_n")) & (F.col("own") == F.col("w")), "left")
+        parts.append(some.where(F.col("w").isNotNull() | (head if not b else F.lit(False))).select("doc_id", "k", F.when(head, F.size("words")).cast("long").alias("n_words"), "item_id", "s", "n"))
+    met = materialize(reduce(DataFrame.unionByName, parts), "decontaminate")
+    return met.where("n_words IS NOT NULL").select("doc_id", "k", "n_words"), met.where("n_words IS NULL").select("doc_id", "k", "item_id", "s", "n")
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, max_windows: int = MAX_WINDOWS) -> DataFrame:
-    """doc_id, n_words, hit (positions of hit words, sorted), items (item_ids as sorted strings) and contaminated."""
+    """doc_id, k, n_words, hit (positions of hit words, sorted), items (item_ids as sorted strings) and contaminated."""
     seen, hits = scan(docs, benchmark, window, max_windows)
     hits = hits.select("doc_id", "k", "item_id", F.explode(F.sequence("s", F.col("s") + F.col("n") - 1)).alias("pos"))
     met = hits.groupBy(F.col("doc_id").alias("h_id"), F.col("k").alias("h_k")).agg(F.collect_set("pos").alias("hit"), F.collect_set(F.col("item_id").cast("string")).alias("items"))

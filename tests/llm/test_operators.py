@@ -5,6 +5,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from ruleweave.llm import bpe, decontaminate, jaccard_join, language_id, line_dedup, quality_classifier, quality_rules, quotations, substring_dedup, training_order
 from ruleweave.llm.common import word_runs
@@ -79,12 +80,17 @@ def test_substring_dedup(docs, window, block):
     assert got == want and any(gone.values())
 
 
-@pytest.mark.parametrize("most", [200_000, 0])
-def test_decontamination(spark, docs, most):
-    items = [(1, " ".join(words(texts()[5][1])[:20])), (2, "Alpha beta"), (3, ""), (None, "gamma delta"), (4, None), (2, "alpha BETA")]
+@pytest.mark.parametrize("most", [200_000, 3])
+@pytest.mark.parametrize("singles", [False, True])
+def test_decontamination(spark, docs, most, singles):
+    odd = "\u1c89" * 12 + " É a\u0130b ǅ one two three four five six seven eight nine"  # cased otherwise by each library
+    items = [(1, " ".join(words(texts()[5][1])[:20])), (2, "Alpha beta"), (3, ""), (None, "gamma delta"), (4, None), (2, "alpha BETA"), (5, odd), (6, "É alpha"), (7, "é")]
+    items += [(8, "Extra"), (9, "x"), (10, "tau")] if singles else []
+    more = [(700, odd), (701, odd.replace("É", "é")), (702, "before " + odd.upper().replace("A", "a") + " after"), (703, "é É alpha EXTRA"), (704, odd + "\n" + odd)]
+    docs = docs.select("doc_id", "text").union(spark.createDataFrame(more, "doc_id long, text string")).withColumn("word", F.lit(1)).withColumn("item_id", F.lit("x"))
     find = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lower(t))
     want = Counter()
-    for i, t in texts():
+    for i, t in texts() + more:
         w, hit, got = find(t), set(), set()
         for item, b in items:
             b = find(b)
@@ -95,8 +101,9 @@ def test_decontamination(spark, docs, most):
                     hit |= set(range(s, s + n))
                     got |= {str(item)} if item is not None else set()
         want[i, len(w), tuple(sorted(hit)), tuple(sorted(got)), bool(hit) and 20 * len(hit) >= len(w)] += 1
-    done = decontaminate.decontaminate(docs, spark.createDataFrame(items, "item_id long, text string"), max_windows=most)
+    done = decontaminate.decontaminate(docs, spark.createDataFrame(items, "item_id long, text string").withColumn("k", F.lit(0)), max_windows=most)
     assert Counter((r.doc_id, r.n_words, tuple(r.hit), tuple(r["items"]), r.contaminated) for r in done.collect()) == want
+    assert sum(n for (i, _, hit, *_), n in want.items() if i == 700 and len(hit) == 13) == 1
 
 
 def sets(t, w):
@@ -153,8 +160,6 @@ def test_quality_counts(docs):
 
 
 def test_distance(spark):
-    from pyspark.sql import functions as F
-
     p, q = np.array([0.5, 0.5, 0.0]), np.array([0.1, 0.2, 0.7])
     m = (p + q) / 2
     want = np.sqrt(sum(a * np.log2(a / c) for a, c in zip(p, m, strict=True) if a) / 2 + sum(a * np.log2(a / c) for a, c in zip(q, m, strict=True) if a) / 2)
