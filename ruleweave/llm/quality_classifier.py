@@ -1,17 +1,19 @@
-"""Quality classifier after importance resampling: weights from hashed n-gram models of target and raw text, and a fitted
-threshold in place of the draw.
-
-The target model counts, for each hashed word and word pair, the documents that hold it among a bounded sample of those
-labelled good (quality 1, not toxic); the raw model counts them over every document. A document's log weight is the sum
-of the log ratios of its n-grams, plus the offset (once and for each n-gram) that separates the sample's good documents
-from its bad ones best. The documents with the k largest sums of log weight and Gumbel noise are kept, k being the number of positive
-weights: noise is scaled to settle only documents about as likely from either model, so this is close to log weight > 0.
-The models count documents and not occurrences; neither is a generative model of text.
-
-Cases: a null text and one without words weigh 0 and are kept if their noise is; null and repeated doc_ids are rows like
-any other (equal rows get equal noise and stay or go together); labels without a document, null labels and repeated
-labels (the worst counts) are allowed; without any labelled good document all are kept; an empty table gives an empty
-result; other columns are ignored.
+"""Quality classifier by importance resampling: hashed n-gram models of target and raw text, and Gumbel top-k.
+
+The models are generative: a text is drawn n-gram by n-gram (hashed words and pairs of neighbours), each with its share
+of the model. A share is estimated from the documents that hold the n-gram, so that one document's repetitions don't make
+it common: for the target among a bounded sample of those labelled good (quality 1, not toxic), for the raw model among
+all documents. A document's log weight is the sum of the log ratios of all its n-grams, each as often as it occurs, plus
+the normalisers of the two models (once and for each n-gram), which are fitted so that the sample's good documents weigh
+more than 0 and its bad ones less. Of log weight over temperature plus standard Gumbel noise the k largest are kept: a
+sample without replacement by weight at temperature 1, a sharper one below, where documents that the models tell apart
+well are hardly left to chance. k is a parameter; by default it is the number of documents likelier as target than as raw
+text (log weight over 0).
+
+Cases: a null text and one without words hold no n-gram; very long texts count whole; null and repeated doc_ids are rows
+like any other (equal rows get equal noise and stay or go together, and so do ties of the k-th key); labels without a
+document, null labels and repeated labels (the worst counts) are allowed; without any labelled good document all weigh 0
+and by default all are kept; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -34,20 +36,18 @@ SAMPLE = 20_000
 PRIOR, SIGMAS = 0.5, 3.5
 #: A good document lost counts as so many bad ones kept, where the offset is fitted.
 GOOD_WEIGHT = 3.0
-#: Scale of log weights before noise is added; a small one keeps noise to documents near the border.
+#: Log weights are divided by it before noise is added.
 TEMPERATURE = 0.1
-#: Occurrences of one n-gram that a document's sum counts.
-CAP = 8
 SEED = 5
 _token = re.compile(rb"[0-9a-z\x80-\xff]+|[^0-9a-z\x80-\xff\x00-\x20]+").findall
 
 
 def ngrams(text: str | None, hashes: WordHashes) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct buckets of a text's tokens and of its pairs of neighbours, and how often each occurs (at most CAP)."""
+    """Distinct buckets of a text's tokens and of its pairs of neighbours, and how often each occurs."""
     h = hashes.of(_token(text.encode().lower())) if text else np.zeros(0, np.uint64)
     pairs = (h[:-1] * np.uint64(0x9E3779B97F4A7C15) + h[1:]) * np.uint64(0xBF58476D1CE4E5B9)
     buckets, n = np.unique(np.concatenate(((h >> np.uint64(20)) % np.uint64(WORDS), (pairs >> np.uint64(40)) % np.uint64(PAIRS) + np.uint64(WORDS))), return_counts=True)
-    return buckets.astype(np.int64), np.minimum(n, CAP)
+    return buckets.astype(np.int64), n
 
 
 def labelled_sample(labels: DataFrame, size: int = SAMPLE) -> DataFrame:
@@ -142,8 +142,8 @@ def _cut(rows: list[tuple[float, bool]], weight_good: float) -> tuple[float, flo
     return cost, float(-(x[cut - 1] + x[cut]) / 2)
 
 
-def resample(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, temperature: float = TEMPERATURE) -> DataFrame:
-    """doc_id, k, n_grams, log_weight, key (with its noise) and kept, for every row."""
+def resample(docs: DataFrame, labels: DataFrame, k: int | None = None, temperature: float = TEMPERATURE, sample: int = SAMPLE) -> DataFrame:
+    """doc_id, k (a digest of the row), n_grams, log_weight, key (with its noise) and kept (the k largest keys), for every row."""
     spark, id_type = docs.sparkSession, docs.schema["doc_id"].dataType.simpleString()
     chosen = F.broadcast(labelled_sample(labels, sample))  # at most 2 * sample rows
     marked = docs.select("doc_id", "text").join(chosen, F.col("doc_id") == F.col("l_id"), "left").select("doc_id", F.xxhash64(F.lit(17), "doc_id", "text").alias("k"), "text", "good")
@@ -159,6 +159,7 @@ def resample(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, temperatu
                 sizes.append(int(n.sum()))
                 sums.append(float(ratios[own] @ n) if ratios is not None else 0.0)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("k"), batch.column("good"), pa.array(sizes, pa.int64()), pa.array(sums, pa.float64())], names=["doc_id", "k", "good", "n_grams", "total"])
+        release()
 
     scored = materialize(marked.mapInArrow(weigh, f"doc_id {id_type}, k long, good boolean, n_grams long, total double"), "weights")
     judged = scored.where("good IS NOT NULL AND n_grams > 0").select("total", "n_grams", "good").collect()  # bounded by the sample
@@ -166,6 +167,8 @@ def resample(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, temperatu
     uniform = (F.shiftrightunsigned(F.xxhash64(F.lit(SEED), "k"), 11).cast("double") + 0.5) / float(1 << 53)
     weight = F.col("total") + F.lit(offset) + F.lit(each) * F.col("n_grams")
     keyed = scored.select("doc_id", "k", "n_grams", weight.alias("log_weight"), (weight / temperature - F.log(-F.log(uniform))).alias("key"))
-    k = keyed.where("log_weight > 0").count() if ratios is not None else keyed.count()
+    if k is None:
+        k = keyed.where("log_weight > 0").count() if ratios is not None else keyed.count()
+    k = min(k, keyed.count())
     least = kth_largest(keyed.select("key"), k) if k else float("inf")
     return keyed.withColumn("kept", F.col("key") >= F.lit(least))

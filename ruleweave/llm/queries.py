@@ -48,7 +48,7 @@ def op4_quotation_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
-    done = quality_classifier.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    done = quality_classifier.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), temperature=1.0)
     return done.select("doc_id", "n_grams", F.round("log_weight", 6).alias("log_weight"), "kept")
 
 

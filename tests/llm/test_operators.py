@@ -187,6 +187,45 @@ def test_classifier_learns_from_rare_one_sided_words(spark):
     assert sum(kept[i] for i in kept if toxic(i)) <= 2 and sum(kept[i] for i in kept if not toxic(i)) >= 0.95 * 576
 
 
+def test_weights_and_sampling_by_brute_force(spark):
+    rng = np.random.default_rng(8)
+    rows = [(i, " ".join(rng.choice(WORDS[: 4 + i % 5], 30 + i % 40)) + " vile vile" * (i % 9 == 0) * (1 + i % 5)) for i in range(200)] + [(500, None), (501, ""), (7, "alpha beta"), (7, "alpha beta"), (None, "tau tau")]
+    labels = [(i, int(i % 9 > 0), int(i % 9 == 0)) for i in range(0, 150)]
+    good = {i for i, q, t in labels if q == 1 and not t}
+    grams = lambda t: (t or "").split() + list(zip((t or "").split(), (t or "").split()[1:], strict=False))
+    raw, target = Counter(), Counter()
+    for i, t in rows:
+        raw.update(set(grams(t)))
+        target.update(set(grams(t)) if i in good else ())
+    ratio = {}
+    for part in (str, tuple):
+        own = sorted((target[g] / raw[g], g) for g in raw if isinstance(g, part))
+        half, upto = sum(raw[g] for _, g in own) / 2, 0
+        for usual, g in own:
+            upto += raw[g]
+            if upto >= half:
+                break
+        for _, g in own:
+            e = raw[g] * usual
+            far = (abs(target[g] - e) / np.sqrt(e + 1) / quality_classifier.SIGMAS) ** 8
+            ratio[g] = np.log((target[g] + quality_classifier.PRIOR) / (e + quality_classifier.PRIOR)) * far / (1 + far)
+    total = lambda t: sum(ratio[g] for g in grams(t))
+    judged = [(total(t), len(grams(t)), i in good) for i, t in rows if i is not None and i < 150 and t]
+    offset, each = quality_classifier.best_offset(judged)
+    docs, labelled = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    text = {(i, t): total(t) + offset + each * len(grams(t)) for i, t in rows}
+    for k, temperature in ((None, 1.0), (0, 1.0), (1, 1.0), (40, 1.0), (10_000, 1.0), (None, 0.1), (40, 0.1)):
+        got = quality_classifier.resample(docs, labelled, k=k, temperature=temperature, sample=10**9).collect()  # no two labels share a slot
+        assert Counter(r.doc_id for r in got) == Counter(i for i, _ in rows)
+        for r in got:
+            assert any(i == r.doc_id and abs(w - r.log_weight) < 1e-3 and len(grams(t)) == r.n_grams for (i, t), w in text.items())
+        noise = np.array([r.key - r.log_weight / temperature for r in got])
+        assert abs(noise.mean() - 0.5772) < 0.4 and abs(noise.std() - 1.2825) < 0.4
+        n = sum(w > 0 for w in (text[i, t] for i, t in rows)) if k is None else min(k, len(rows))
+        least = sorted((r.key for r in got), reverse=True)[n - 1] if n else np.inf
+        assert all(r.kept == (r.key >= least) for r in got) and sum(r.kept for r in got) in (n, n + 1)
+
+
 def test_kth_largest(spark):
     keys = np.random.default_rng(1).normal(size=5000).round(2)
     df = spark.createDataFrame([(float(x),) for x in keys], "key double")
