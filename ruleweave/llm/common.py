@@ -39,13 +39,21 @@ def shared_dir(spark: SparkSession) -> str:
     return _own_dir[app]
 
 
-def materialize(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
+#: Rows of small tables (a few numbers each) in a file.
+ROWS_A_FILE = 500_000
+
+
+def materialize(df: DataFrame, name: str, compression: str = "zstd", rows: int | None = None) -> DataFrame:
     """Write df as Parquet in the shared folder and read it back: cuts lineage and outlives lost executors.
 
+    Where about as many narrow rows are expected, they go to files of ROWS_A_FILE, not to one for each shuffle partition.
+
     The shuffles behind df are of no more use then, but Spark keeps their files until the driver collects its garbage; it
     is asked to, so that the disk holds those of one step and not of all.
     """
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    if rows is not None:
+        df = df.coalesce(max(6, -(-rows // ROWS_A_FILE)))
     df.write.option("compression", compression).parquet(path)
     df.sparkSession.sparkContext._jvm.System.gc()
     return df.sparkSession.read.schema(df.schema).parquet(path)

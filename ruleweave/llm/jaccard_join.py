@@ -330,13 +330,16 @@ def jaccard_components(docs: DataFrame, w: int = SHINGLE, percent: int = PERCENT
     def cut(met: DataFrame) -> DataFrame:
         """(node, region, size) of nodes that agree with another."""
         pairs = met.where("part IS NOT NULL").select("part", "pairs").groupBy("part").applyInArrow(_distinct_pairs, "a long, b long")
-        found = connected_components(pairs).withColumnRenamed("root", "region")
-        return materialize(found.join(found.groupBy("region").agg(F.count(F.lit(1)).alias("size")), "region").select("node", "region", "size"), "regions")
-
-    def brought(nodes: DataFrame, size: str = "size") -> DataFrame:
-        """Texts of nodes: one document of each brings the set."""
+        pairs = materialize(pairs, "pairs")
+        n = pairs.count()
+        found = connected_components(pairs, rows=n).withColumnRenamed("root", "region")
+        sizes = found.groupBy("region").agg(F.count(F.lit(1)).alias("size"))
+        return materialize(found.join(sizes, "region").select("node", "region", "size"), "regions", rows=n)
+
+    def brought(nodes: DataFrame, n: int, size: str = "size") -> DataFrame:
+        """Texts of n nodes: one document of each brings the set."""
         bring = rows.join(nodes, "node").groupBy("node", "region", size).agg(F.min(F.struct("doc_id", "k")).alias("d"))
-        bring = materialize(bring.select(F.col("d.doc_id").alias("b_id"), F.col("d.k").alias("b_k"), "node", "region", size, F.lit("").alias("none")), "bring")
+        bring = materialize(bring.select(F.col("d.doc_id").alias("b_id"), F.col("d.k").alias("b_k"), "node", "region", size, F.lit("").alias("none")), "bring", rows=n)
         return base.join(broadcast_if_small(bring, "none"), F.col("doc_id").eqNullSafe(F.col("b_id")) & (F.col("k") == F.col("b_k"))).select("doc_id", "k", "text", "node", "region", size)
 
     met = agreements(base.withColumn("region", F.lit(0).cast("long")))
@@ -353,11 +356,12 @@ def jaccard_components(docs: DataFrame, w: int = SHINGLE, percent: int = PERCENT
         if not now[0] or now == before:
             break
         before = now if level else -1
-        regions = materialize(regions.where(~again).unionByName(cut(agreements(brought(large)))), "regions")
+        regions = materialize(regions.where(~again).unionByName(cut(agreements(brought(large, now[0])))), "regions", rows=now[0])
+    n_left = regions.count()
     sized = regions.join(rows.groupBy("node").agg(F.max("n").alias("set_size")), "node")
     weights = sized.groupBy("region").agg(F.sum("set_size").alias("weight"))
     blocks = F.greatest(F.ceil(F.col("size") / region), F.ceil(F.col("weight") / REGION_SHINGLES)).cast("int")
-    sets = brought(sized.join(weights, "region").select("node", "region", blocks.alias("blocks")), "blocks")
+    sets = brought(sized.join(weights, "region").select("node", "region", blocks.alias("blocks")), n_left, "blocks")
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # A compressed text takes a third of the bytes of its set, so texts travel and regions make the sets.
@@ -371,7 +375,8 @@ def jaccard_components(docs: DataFrame, w: int = SHINGLE, percent: int = PERCENT
     sets = sets.withColumn("own", own)
     sets = sets.select("region", "node", "packed", "own", F.when(small, F.pmod(F.xxhash64("region"), F.lit(n_buckets * 4).cast("long"))).otherwise(F.col("region")).alias("g"), F.explode(F.when(small, F.array(F.lit(-1))).otherwise(F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: j != F.col("own")))).alias("other"))
     links = sets.groupBy("g", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j")).applyInArrow(lambda t: _join_regions(t, w, percent), "a long, b long")
-    roots = connected_components(materialize(links, "links"))
+    links = materialize(links, "links")
+    roots = connected_components(links, rows=links.count())
     rows = rows.join(roots, "node", "left").withColumn("c", F.when(F.col("n") > 0, F.coalesce("root", "node")))
     least = rows.where("n > 0").groupBy("c").agg(F.min("doc_id").alias("least"))
     return rows.join(least, "c", "left").select("doc_id", "k", F.col("n").alias("n_shingles"), "node", F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("doc_id")).alias("component_id"))
