@@ -44,7 +44,8 @@ def lower(t):
     return re.sub("[A-Z]", lambda m: m[0].lower(), t or "")
 
 
-def test_line_dedup(docs):
+@pytest.mark.parametrize("limit", [32 << 20, 0])
+def test_line_dedup(docs, limit):
     split = {(i, t): (t or "").split("\n") for i, t in texts()}
     key = lambda x: lower(x.strip(" \t\n\x0b\x0c\r"))
     n = Counter(k for lines in split.values() for k in {key(x) for x in lines})
@@ -52,7 +53,7 @@ def test_line_dedup(docs):
     for i, t in texts():
         kept = [x for x in split[i, t] if not (key(x) and n[key(x)] >= 10)]
         want[i, len(split[i, t]), len(split[i, t]) - len(kept), "\n".join(kept)] += 1
-    got = Counter((r.doc_id, r.n_lines, r.n_dropped, r.kept_text) for r in line_dedup.dedup_lines(docs).collect())
+    got = Counter((r.doc_id, r.n_lines, r.n_dropped, r.kept_text) for r in line_dedup.dedup_lines(docs, limit=limit).collect())
     assert got == want and any(r[2] for r in want)
 
 
