@@ -327,6 +327,73 @@ def test_partial_quotations(spark):
     assert got[3, 0][1] == 1 and got[3, 0][2] == 1
 
 
+def linked_by_brute_force(rows):
+    """(conv_id, turn, own_text, position, n_quotes, n_linked, parent_conv, parent_turn) of messages whose turns differ or which are equal."""
+    convs = defaultdict(list)
+    for r in sorted(r for r in rows if r[0] is not None and r[1] is not None):
+        convs[r[0]].append((*r, *quotations.parse(r[3])))
+    lengths = sorted({len(quotations.solid(y)) for ms in convs.values() for m in ms for _, x in m[5] for y in quotations.parts(x)} - {0, 1})
+    said = {(c, i): set(quotations.sayings(m[4], lengths)) for c, ms in convs.items() for i, m in enumerate(ms)}
+    reply, linked = {}, {}
+    for (c, i), _ in said.items():
+        turn, passages = convs[c][i][1], convs[c][i][5]
+        found = []
+        for level, x in passages:
+            for _, h in quotations.pieces(x):
+                own = min((j for j in range(len(convs[c])) if h in said[c, j]), default=None)
+                if own is not None and convs[c][own][1] < turn:
+                    found.append((level, (c, own)))
+                    break
+                if away := [k for k in said if k[0] != c and h in said[k]]:
+                    found.append((level, min(away)))
+                    break
+        linked[c, i] = len(found)
+        reply[c, i] = next((at for level, at in found if level == 1), None)
+    core = {(c, at[0]) for (c, _), at in reply.items() if at and at[0] != c}
+    while (rest := {(a, b) for a, b in core if a in {y for _, y in core} and b in {x for x, _ in core}}) != core:
+        core = rest
+    circle = {a for a, _ in core}
+    reply = {k: None if at and at[0] > k[0] and {k[0], at[0]} <= circle else at for k, at in reply.items()}
+    up = {(c, i): reply[c, i] or ((c, i - 1) if i else None) for c, i in said}
+    out = []
+    for c, ms in convs.items():
+        place = {}
+        for i in range(len(ms)):
+            seen, at = [], (c, i)
+            while at and at[0] == c:
+                seen.append(at[1])
+                at = up[at]
+            place[i] = (seen[-1], len(seen), i)
+            while at:  # no circle
+                assert len(seen) < len(said) + 2
+                seen.append(at)
+                at = up[at]
+        position = {i: n + 1 for n, i in enumerate(sorted(place, key=place.get))}
+        out += [(c, ms[i][1], ms[i][4], position[i], len(ms[i][5]), linked[c, i], *((up[c, i][0], convs[up[c, i][0]][up[c, i][1]][1]) if up[c, i] else (None, None))) for i in range(len(ms))]
+    return Counter(out), bool(circle), max((n for *_, n, _, _ in out), default=0)
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_random_threads(spark, seed):
+    rng = np.random.default_rng(seed)
+    lines = [f"{a} {b}" for a in WORDS[:5] for b in WORDS[5:9]]
+    rows, texts_of = [], []
+    for c in range(12):
+        for turn in range(int(rng.integers(1, 9))):
+            own = [str(x) for x in rng.choice(lines, int(rng.integers(0, 4)))]
+            quoted = []
+            for _ in range(int(rng.integers(0, 3))):
+                source = texts_of[int(rng.integers(len(texts_of)))] if texts_of and rng.random() < 0.7 else [str(rng.choice(lines))]
+                quoted += [">" * int(rng.integers(1, 3)) + " " + x.upper() for x in source] + ["so"] * int(rng.integers(0, 2))
+            texts_of.append(own)
+            rows.append((c, turn, str(rng.choice(["user", "bot"])), "\n".join(quoted + own)))
+    rows += rows[3:6] + [(2, None, "user", "lost"), (None, 1, "user", "lost")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").select("*", F.lit(1).alias("place"), F.lit("x").alias("h"))
+    got = Counter((r.conv_id, r.turn, r.own_text, r.position, r.n_quotes, r.n_linked, r.parent_conv, r.parent_turn) for r in quotations.link(df).collect())
+    want, circles, most = linked_by_brute_force(rows)
+    assert got == want and most and (circles or seed)
+
+
 def test_empty_tables(spark):
     import public_tokenizers
 
