@@ -59,6 +59,11 @@ def materialize(df: DataFrame, name: str, compression: str = "zstd", rows: int |
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def fewer_tasks(df: DataFrame, rows: int, each: int = 10_000) -> DataFrame:
+    """Small input splits read together, about each documents in a task, and two tasks a core at least."""
+    return df.coalesce(max(2 * df.sparkSession.sparkContext.defaultParallelism, rows // each))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A table of whole texts, passed to Python in batches of few rows, since a text may be long."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")

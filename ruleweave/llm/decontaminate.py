@@ -20,7 +20,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, keyed, materialize
+from .common import ascii_lower, fewer_tasks, keyed, materialize
 
 WINDOW = 13
 #: Windows broadcast at once, about 200 bytes each.
@@ -57,7 +57,7 @@ def benchmark_windows(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
 def scan(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, max_windows: int = MAX_WINDOWS) -> tuple[DataFrame, DataFrame]:
     """(documents with doc_id, k, n_words; verified hits with doc_id, k, item_id, s, n)."""
     wins = materialize(benchmark_windows(benchmark, window), "benchmark-windows")
-    words = keyed(docs).select("doc_id", "k", words_of(F.col("text")).alias("words"))
+    words = fewer_tasks(keyed(docs), docs.count()).select("doc_id", "k", words_of(F.col("text")).alias("words"))
     # A first row without a word stands for the document itself.
     rows = words.select("doc_id", "k", "words", F.posexplode(F.concat(F.array(F.lit(None).cast("string")), F.col("words"))).alias("i", "word"))
     rows = rows.withColumns({"i": F.col("i") - 1, "after": F.get("words", F.col("i"))})

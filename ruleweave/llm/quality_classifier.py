@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, materialize, release
+from .common import WordHashes, fewer_tasks, materialize, release
 
 #: Buckets of words and of word pairs; the model's size.
 WORDS, PAIRS = 1 << 17, 1 << 16
@@ -147,6 +147,7 @@ def resample(docs: DataFrame, labels: DataFrame, k: int | None = None, temperatu
     spark, id_type = docs.sparkSession, docs.schema["doc_id"].dataType.simpleString()
     chosen = F.broadcast(labelled_sample(labels, sample))  # at most 2 * sample rows
     marked = docs.select("doc_id", "text").join(chosen, F.col("doc_id") == F.col("l_id"), "left").select("doc_id", F.xxhash64(F.lit(17), "doc_id", "text").alias("k"), "text", "good")
+    marked = fewer_tasks(marked, docs.count())
     ratios = log_ratios(marked.select("text", "good"))
     shared = spark.sparkContext.broadcast(ratios)
 
