@@ -75,6 +75,14 @@ def texts(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id"), F.col("text"))
 
 
+def whole_ids(docs: DataFrame) -> DataFrame:
+    """docs with doc_id as long; a TypeError at once, before any work, where it is of no integer type."""
+    kind = docs.schema["doc_id"].dataType.typeName()
+    if kind not in ("byte", "short", "integer", "long", "void"):
+        raise TypeError(f"doc_id is {kind}; this operator orders documents by whole numbers: number them first")
+    return docs.withColumn("doc_id", F.col("doc_id").cast("long"))
+
+
 def keyed(docs: DataFrame) -> DataFrame:
     """doc_id, text and k, a 64-bit digest of both: repeated rows share it, other rows of one doc_id don't."""
     return texts(docs).withColumn("k", F.xxhash64(F.lit(17), "doc_id", "text"))

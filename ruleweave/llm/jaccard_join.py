@@ -15,7 +15,8 @@ Nodes are known by 64-bit digests of their sets.
 
 Cases: null, empty and wordless texts have the empty set and link with nothing; a text of fewer words than a shingle
 is one shingle; null doc_ids are documents whose component_id is null when no other document is in it; repeated rows
-share a component; an empty table gives an empty result; other columns are ignored.
+share a component; very long texts are read whole; an empty table gives an empty result; a doc_id of no integer type is
+refused; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -30,7 +31,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, broadcast_if_small, bucket_of, buckets_for, keyed, materialize, mix, pack, release, text_bytes, unpack
+from .common import WordHashes, broadcast_if_small, bucket_of, buckets_for, keyed, materialize, mix, pack, release, text_bytes, unpack, whole_ids
 from .components import connected_components
 from .substring_dedup import Rolling
 
@@ -318,7 +319,7 @@ def jaccard_components(docs: DataFrame, w: int = SHINGLE, percent: int = PERCENT
     """doc_id, k, n_shingles, node (of its set) and component_id: the least doc_id that links reach."""
     size = text_bytes(docs)
     n_buckets = buckets_for(size, BUCKET_BYTES)
-    base = keyed(docs).withColumn("doc_id", F.col("doc_id").cast("long"))
+    base = whole_ids(keyed(docs))
     lists = "doc_id array<long>, k array<long>, node array<long>, n array<long>"
 
     often = docs.sparkSession.sparkContext.broadcast(frequent_shingles(base, w))

@@ -10,7 +10,7 @@ A window is known by 64 bits: n windows hold about n*n / 2**65 false pairs (none
 
 Cases: order is by doc_id (nulls last), then by a digest of doc_id and text, then by start; repeated rows are the same
 document and get the same result; null and empty texts have no words; texts of fewer words than a window keep all; an
-empty table gives an empty result; other columns are ignored.
+empty table gives an empty result; a doc_id of no integer type is refused; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, broadcast_if_small, bucket_of, buckets_for, keyed, materialize, mix, pack, release, text_bytes, unpack, word_runs
+from .common import WordHashes, broadcast_if_small, bucket_of, buckets_for, keyed, materialize, mix, pack, release, text_bytes, unpack, whole_ids, word_runs
 
 WINDOW = 20
 #: Windows of a block.
@@ -188,7 +188,7 @@ def _merge(t: pa.Table, window: int) -> pa.Table:
 def removals(docs: DataFrame, window: int = WINDOW, block: int = BLOCK) -> DataFrame:
     """doc_id (its largest value for null), k and spans: the maximal removal intervals as packed (start, end) words."""
     n_buckets = buckets_for(text_bytes(docs), BUCKET_BYTES)
-    rows = keyed(docs).withColumn("doc_id", F.col("doc_id").cast("long"))
+    rows = whole_ids(keyed(docs))
     rows = rows.mapInArrow(lambda it: _windows(it, window, n_buckets, block), "bucket int, h binary, at binary")
     places = rows.groupBy("bucket").applyInArrow(lambda t: _count(t, n_buckets), "part int, at binary")
     return materialize(places.groupBy("part").applyInArrow(lambda t: _merge(t, window), "doc_id long, k long, spans binary"), "removals")

@@ -1,14 +1,16 @@
 """Training-order materialisation: a keyed Feistel permutation gives every token sequence its slot in fixed-stride shards.
 
-Texts become byte tokens, cut into sequences of seq_len; sequences are numbered in order of document. A balanced Feistel
-network permutes [0, 4**h) and is walked until it falls below the number of sequences, which makes it a permutation of
-just those. Slots are dealt to shards by range, and each shard is one file of records of equal stride, so record i of
-the training order is found at shard i // per_shard, byte (i % per_shard) * stride: reads are sequential and resume at
-any slot. A record is doc_id (8 bytes), number in the document (4), length (4), the tokens filled up with 0, and the
-line feed with which Spark's text writer ends it; that writer commits whole files to any store.
-
-Cases: null and empty texts have no sequences; a null doc_id is written as the largest number and read back as null;
-repeated rows are one document; an empty table writes no shard and gives an empty result; other columns are ignored.
+Tokens are the ids of a column (as bpe.encode makes them, of a stated width) or, without one, the bytes of the text. They
+are cut into sequences of seq_len, numbered in order of document. A balanced Feistel network permutes [0, 4**h) and is
+walked until it falls below the number of sequences, which makes it a permutation of just those. Slots are dealt to
+tasks by range, some whole shards to each, and each shard is one file of records of equal stride, so record i of the
+training order is found at shard i // per_shard, byte (i % per_shard) * stride: reads are sequential and resume at any
+slot. A record is doc_id (8 bytes), number in the document (4), number of tokens (4), the tokens filled up with 0 (after
+the shuffle), and the line feed with which Spark's text writer ends it; that writer commits whole files to any store.
+
+Cases: null and empty texts have no sequences; very long texts have as many as they need; a null doc_id is written as the
+largest number and read back as null; a doc_id of no integer type is refused; repeated rows are one document; an empty
+table writes no shard and gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -24,10 +26,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_small, keyed, materialize, shared_dir
+from .common import broadcast_if_small, materialize, shared_dir, whole_ids
 
 SEQ_LEN = 512
 PER_SHARD = 16_384
+#: Bytes of records that one task writes, in whole shards.
+TASK_BYTES = 32 << 20
 KEY = 20_240_601
 ROUNDS = 4
 _HEAD = "<qii"
@@ -61,9 +65,15 @@ def slots(index: np.ndarray, n: int, key: int = KEY) -> np.ndarray:
     return v.astype(np.int64)
 
 
-def numbered(docs: DataFrame, seq_len: int = SEQ_LEN) -> tuple[DataFrame, int]:
-    """(doc_id, k, first: the number of a document's first sequence) and the number of sequences in all."""
-    sizes = keyed(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "k", F.ceil(F.octet_length("text") / seq_len).cast("long").alias("n")).where("n > 0").distinct()
+def documents(docs: DataFrame, ids: str | None = None) -> DataFrame:
+    """doc_id, data (the tokens' bytes) and k, a digest of both."""
+    data = F.col(f"`{ids}`") if ids else F.encode("text", "utf-8")
+    return whole_ids(docs.select("doc_id", data.alias("data"))).withColumn("k", F.xxhash64(F.lit(17), "doc_id", "data"))
+
+
+def numbered(base: DataFrame, size: int) -> tuple[DataFrame, int]:
+    """(doc_id, k, first: the number of a document's first sequence of size bytes) and the number of sequences in all."""
+    sizes = base.select("doc_id", "k", F.ceil(F.octet_length("data") / size).cast("long").alias("n")).where("n > 0").distinct()
     ordered = sizes.repartitionByRange(F.coalesce("doc_id", F.lit(_NONE)), "k").sortWithinPartitions(F.coalesce("doc_id", F.lit(_NONE)), "k")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -84,44 +94,55 @@ def numbered(docs: DataFrame, seq_len: int = SEQ_LEN) -> tuple[DataFrame, int]:
     return local.join(F.broadcast(bases), "part").select("doc_id", "k", (F.col("base") + F.col("local")).alias("first")), base
 
 
-def write_shards(docs: DataFrame, path: str | None = None, seq_len: int = SEQ_LEN, per_shard: int = PER_SHARD, key: int = KEY) -> str:
-    """Write the shards below path (by default a new one in the shared folder) and return it."""
+def write_shards(docs: DataFrame, path: str | None = None, seq_len: int = SEQ_LEN, per_shard: int = PER_SHARD, key: int = KEY, ids: str | None = None, width: int = 1) -> str:
+    """Write the shards below path (by default a new one in the shared folder) and return it.
+
+    ids names a binary column of token ids of width bytes each, little-endian.
+    """
     path = path or f"{shared_dir(docs.sparkSession)}/shards-{uuid.uuid4().hex}"
-    first, n = numbered(docs, seq_len)
+    size = seq_len * width
+    base = documents(docs, ids)
+    first, n = numbered(base, size)
     first = broadcast_if_small(first.select(F.col("doc_id").alias("f_id"), F.col("k").alias("f_k"), "first", F.lit("").alias("none")), "none").drop("none")
-    base = keyed(docs).withColumn("doc_id", F.col("doc_id").cast("long"))
-    met = base.join(first, F.col("doc_id").eqNullSafe(F.col("f_id")) & (F.col("k") == F.col("f_k"))).select("doc_id", "text", "first")
+    met = base.join(first, F.col("doc_id").eqNullSafe(F.col("f_id")) & (F.col("k") == F.col("f_k"))).select("doc_id", "data", "first")
+    n_shards = -(-n // per_shard)
+    each = max(1, TASK_BYTES // (per_shard * size))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         squeeze = zstandard.ZstdCompressor(level=9, write_checksum=False, write_content_size=False).compress
         for batch in batches:
             at, records = [], []
-            for doc_id, text, begin in zip(batch.column("doc_id").to_pylist(), batch.column("text"), batch.column("first").to_pylist(), strict=True):
-                data = text.as_py().encode()
-                for i in range(0, len(data), seq_len):
-                    own = data[i : i + seq_len]
-                    at.append(begin + i // seq_len)
-                    records.append(squeeze(struct.pack(_HEAD, _NONE if doc_id is None else doc_id, i // seq_len, len(own)) + own.ljust(seq_len, b"\0")))
+            for doc_id, data, begin in zip(batch.column("doc_id").to_pylist(), batch.column("data"), batch.column("first").to_pylist(), strict=True):
+                data = data.as_py()
+                for i in range(0, len(data), size):
+                    own = data[i : i + size]
+                    at.append(begin + i // size)
+                    records.append(squeeze(struct.pack(_HEAD, _NONE if doc_id is None else doc_id, i // size, len(own) // width) + own))
             yield pa.RecordBatch.from_arrays([pa.array(slots(np.array(at, np.int64), n, key)), pa.array(records, pa.binary())], names=["slot", "record"])
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        whole = zstandard.ZstdDecompressor().decompress
+        whole, most, last = zstandard.ZstdDecompressor().decompress, struct.calcsize(_HEAD) + size, -1
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column("shard"), pa.array([whole(x.as_py(), max_output_size=struct.calcsize(_HEAD) + seq_len) for x in batch.column("record")], pa.binary())], names=["shard", "record"])
-
-    records = met.mapInArrow(cut, "slot long, record binary").withColumn("shard", F.floor(F.col("slot") / per_shard))
-    # All of a shard is in one partition, in order of slot; a repeated row's records are the same, one stays.
-    dealt = records.repartition("shard").dropDuplicates(["shard", "slot"]).sortWithinPartitions("shard", "slot")
-    plain = dealt.select("shard", "record").mapInArrow(spread, "shard long, record binary")
+            at = batch.column("slot").to_numpy()
+            new = np.flatnonzero(np.diff(at, prepend=last))  # a repeated row's records are the same, one stays
+            last = int(at[-1]) if len(at) else last
+            records = batch.column("record").take(pa.array(new))
+            yield pa.RecordBatch.from_arrays([pa.array(at[new] // per_shard), pa.array([whole(x.as_py(), max_output_size=most).ljust(most, b"\0") for x in records], pa.binary())], names=["shard", "record"])
+
+    records = met.mapInArrow(cut, "slot long, record binary")
+    task = F.floor(F.col("slot") / (per_shard * each)).cast("int")
+    dealt = records.repartitionById(max(1, -(-n_shards // each)), task).sortWithinPartitions("slot")
+    plain = dealt.mapInArrow(spread, "shard long, record binary")
     plain.select("shard", F.col("record").cast("string").alias("value")).write.partitionBy("shard").option("compression", "none").text(path)
     return path
 
 
-def read_shards(spark: SparkSession, path: str, seq_len: int = SEQ_LEN, per_shard: int = PER_SHARD, start: int = 0) -> DataFrame:
+def read_shards(spark: SparkSession, path: str, seq_len: int = SEQ_LEN, per_shard: int = PER_SHARD, start: int = 0, width: int = 1) -> DataFrame:
     """slot, shard, offset, doc_id, seq_no, n_tokens and tokens of the records from slot start on; earlier shards aren't opened."""
     files = spark.read.format("binaryFile").load(path) if _exists(spark, path) else spark.createDataFrame([], "shard int, content binary")
     files = files.select(F.col("shard").cast("long").alias("shard"), "content").where(F.col("shard") >= start // per_shard)
-    stride = struct.calcsize(_HEAD) + seq_len + 1
+    head = struct.calcsize(_HEAD)
+    stride = head + seq_len * width + 1
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -132,7 +153,7 @@ def read_shards(spark: SparkSession, path: str, seq_len: int = SEQ_LEN, per_shar
                     for j in range(i, min(len(data), i + 2000 * stride), stride):
                         doc_id, number, n = struct.unpack_from(_HEAD, data, j)
                         if (slot := shard * per_shard + j // stride) >= start:
-                            rows.append((slot, shard, j, None if doc_id == _NONE else doc_id, number, n, bytes(data[j + struct.calcsize(_HEAD) : j + struct.calcsize(_HEAD) + n])))
+                            rows.append((slot, shard, j, None if doc_id == _NONE else doc_id, number, n, bytes(data[j + head : j + head + n * width])))
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [()] * 7, (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()), strict=True)], names=["slot", "shard", "offset", "doc_id", "seq_no", "n_tokens", "tokens"])
 
     return files.mapInArrow(parse, "slot long, shard long, offset long, doc_id long, seq_no int, n_tokens int, tokens binary")

@@ -288,6 +288,31 @@ def test_training_order(spark, docs):
     assert sorted(r.slot for r in training_order.read_shards(spark, path, 100, 7, start=10).collect()) == list(range(10, len(got)))
 
 
+@pytest.mark.parametrize("width", [2, 4])
+def test_training_order_of_token_ids(spark, docs, width):
+    import public_tokenizers
+
+    ranks = bpe.read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    ids = {(r.doc_id, bytes(r.ids)) for r in bpe.encode(docs, ranks, public_tokenizers.PATTERN).collect() if r.n_tokens}
+    rows = [(i, np.frombuffer(x, "<u4").astype(f"<u{width}").tobytes(), "x") for i, x in sorted(ids, key=str)]
+    df = spark.createDataFrame([*rows, rows[0], (None, None, "x"), (1000, b"", "x")], "doc_id long, tokens binary, data string")
+    path = training_order.write_shards(df, seq_len=16, per_shard=50, ids="tokens", width=width)
+    got = training_order.read_shards(spark, path, 16, 50, width=width).collect()
+    assert sorted(r.slot for r in got) == list(range(len(got))) == list(range(sum(-(-len(x) // (16 * width)) for _, x, _ in rows)))
+    back = defaultdict(bytes)
+    for r in sorted(got, key=lambda r: (str(r.doc_id), r.seq_no)):
+        assert len(r.tokens) == r.n_tokens * width and r.offset == r.slot % 50 * (16 + 16 * width + 1)
+        back[r.doc_id] += bytes(r.tokens)
+    assert {i: x for i, x, _ in rows if i != 205} == {i: x for i, x in back.items() if i != 205}
+
+
+def test_ids_of_other_types_are_refused(spark):
+    docs = spark.createDataFrame([("a", "some text")], "doc_id string, text string")
+    for run in (substring_dedup.dedup_substrings, jaccard_join.jaccard_components, training_order.write_shards):
+        with pytest.raises(TypeError):
+            run(docs)
+
+
 def test_quotations(spark):
     rows = [
         (1, 0, "user", "Shall we meet?\nAt noon."),
