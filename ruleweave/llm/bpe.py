@@ -5,7 +5,7 @@ once, in hash buckets. A bucket meets every block's share of its words, encodes
 table and sends the ids back to the blocks, which reassemble the documents by position. Decoding joins each id with
 the token-byte table, whose size is the vocabulary's.
 
-Cases: a null or empty text has no ids and decodes to nothing; null and repeated doc_ids keep their rows; an empty
+Cases: a null or empty text has no ids and decodes to nothing; very long texts and very long words are encoded whole; null and repeated doc_ids keep their rows; an empty
 table gives an empty result; columns other than doc_id and text are ignored.
 """
 
@@ -16,6 +16,7 @@ import re
 import unicodedata
 from collections import defaultdict
 from collections.abc import Iterator
+from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -42,12 +43,31 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
 
 
-def _encoding(key, ranks: dict[bytes, int], pattern: str):
-    if key not in _cached:
-        import tiktoken
-
-        _cached[key] = tiktoken.Encoding(key, pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-    return _cached[key]
+def merge(word: bytes, ranks: dict[bytes, int]) -> list[int]:
+    """Token ids of a word: of all neighbours the pair of least rank, the first of equal ones, becomes one, again and again.
+
+    A heap holds the pairs, so a word of n bytes takes n * log(n) steps however long it is.
+    """
+    if (whole := ranks.get(word)) is not None:
+        return [whole]
+    n = len(word)
+    end, before = list(range(1, n + 1)), list(range(-1, n))  # of the part that begins at i
+    heap = [(r, i, i + 2) for i in range(n - 1) if (r := ranks.get(word[i : i + 2])) is not None]
+    heapify(heap)
+    gone = bytearray(n)
+    while heap:
+        _, i, stop = heappop(heap)
+        j = end[i]
+        if gone[i] or j == n or end[j] != stop:
+            continue  # one of the two has grown or gone meanwhile
+        gone[j], end[i] = 1, stop
+        if stop < n:
+            before[stop] = i
+            if (r := ranks.get(word[i : end[stop]])) is not None:
+                heappush(heap, (r, i, end[stop]))
+        if (h := before[i]) >= 0 and (r := ranks.get(word[h:stop])) is not None:
+            heappush(heap, (r, h, stop))
+    return [ranks[word[i : end[i]]] for i in range(n) if not gone[i]]
 
 
 def piece_finder(pattern: str):
@@ -133,7 +153,7 @@ def _blocks(batches: Iterator[pa.RecordBatch], pattern: str, n_buckets: int) ->
 def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str) -> DataFrame:
     """doc_id, n_tokens and ids (little-endian unsigned 32-bit integers) of every whole text."""
     spark, id_type = docs.sparkSession, docs.schema["doc_id"].dataType.simpleString()
-    shared = spark.sparkContext.broadcast((f"bpe-{len(ranks)}-{hash(pattern)}-{hash(frozenset(ranks.items()))}", ranks, pattern))
+    shared = spark.sparkContext.broadcast(ranks)
     doc_id_type = to_arrow_type(docs.schema["doc_id"].dataType)
     n_buckets = buckets_for(text_bytes(docs), BUCKET_BYTES)
     cut = texts(docs).mapInArrow(lambda batches: _blocks(batches, pattern, n_buckets), (row := f"block long, kind int, bucket long, a binary, b binary, c binary, doc_ids array<{id_type}>"))
@@ -145,7 +165,7 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str) -> DataFrame:
         """
         if t.num_rows and t.column("kind")[0].as_py() == 0:
             return t
-        one = _encoding(*shared.value)._encode_single_piece
+        known_ranks = shared.value
         known: dict[bytes, bytes] = {}
         blocks, counts, tokens = [], [], []
         for block, a, b in zip(*(t.column(c) for c in ("block", "a", "b")), strict=True):
@@ -155,7 +175,7 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str) -> DataFrame:
                 word = raw[start:end]
                 start = end
                 if (got := known.get(word)) is None:
-                    got = known[word] = np.array(one(word), np.uint32).tobytes()
+                    got = known[word] = np.array(merge(word, known_ranks), np.uint32).tobytes()
                 out.append(got)
             blocks.append(block.as_py())
             counts.append(pack(np.fromiter(map(len, out), np.uint32, len(out)) // np.uint32(4)))

@@ -145,6 +145,29 @@ def test_bpe(docs):
     assert Counter((r.doc_id, bytes(r.ids), bytes(r.decoded)) for r in done.collect()) == want
 
 
+def test_merges_are_those_of_the_library():
+    import public_tokenizers
+    import tiktoken
+
+    ranks = bpe.read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    plain = tiktoken.Encoding("plain", pat_str=r"(?s).+", mergeable_ranks=ranks, special_tokens={})
+    rng = np.random.default_rng(11)
+    tokens = list(ranks)
+    words_ = [b"a", b"aaaaaaaaa", b" the", "ÀÉ日本".encode(), b"x" * 5000, bytes(range(256))]
+    words_ += [b"".join(tokens[int(i)] for i in rng.integers(0, 3000, int(n))) for n in rng.integers(1, 40, 400)]
+    for word in words_:
+        try:
+            text = word.decode()
+        except UnicodeDecodeError:
+            assert b"".join(tokens_of(ranks)[i] for i in bpe.merge(word, ranks)) == word
+            continue
+        assert bpe.merge(word, ranks) == plain.encode_ordinary(text), word
+
+
+def tokens_of(ranks):
+    return {i: b for b, i in ranks.items()}
+
+
 def test_quality_counts(docs):
     want = Counter()
     for i, t in texts():
