@@ -316,7 +316,7 @@ def _join_regions(t: pa.Table, w: int, percent: int) -> pa.Table:
 
 
 def jaccard_components(docs: DataFrame, w: int = SHINGLE, percent: int = PERCENT, region: int = REGION) -> DataFrame:
-    """doc_id, k, n_shingles, node (of its set) and component_id: the least doc_id that links reach."""
+    """doc_id, k, n_shingles, node (of its set), root (one node of the component, null without shingles) and component_id: the least doc_id that links reach."""
     size = text_bytes(docs)
     n_buckets = buckets_for(size, BUCKET_BYTES)
     base = whole_ids(keyed(docs))
@@ -380,7 +380,7 @@ def jaccard_components(docs: DataFrame, w: int = SHINGLE, percent: int = PERCENT
     roots = connected_components(links, rows=links.count())
     rows = rows.join(roots, "node", "left").withColumn("c", F.when(F.col("n") > 0, F.coalesce("root", "node")))
     least = rows.where("n > 0").groupBy("c").agg(F.min("doc_id").alias("least"))
-    return rows.join(least, "c", "left").select("doc_id", "k", F.col("n").alias("n_shingles"), "node", F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("doc_id")).alias("component_id"))
+    return rows.join(least, "c", "left").select("doc_id", "k", F.col("n").alias("n_shingles"), "node", F.col("c").alias("root"), F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
 ORACLE = r"""
