@@ -8,8 +8,11 @@ share; the strongest class of an agreement is left out by neither, so no linked
 next to nothing lie at distance 1 from every pivot, and windows of twice the radius then copy all rows everywhere.
 Inside a region the join is the metric one: pivots make Voronoi cells, a set joins every cell whose pivot is within
 its nearest pivot's distance plus twice the radius, cells are joined recursively, and every link is checked exactly.
-Regions are cut anew by classes of their own; one that stays large is joined block
-against block. Links inside a found component add nothing and are skipped.
+Regions are cut anew by classes of their own. One that stays large is cut into Voronoi cells by all its tasks: pivots
+link what lies within the radius, cells whose sets are all in one component are done, small ones are joined in memory and
+large ones cut again, by pivots that no component has taken in. Where cells do not part a region (its sets are as far
+from all pivots), sets outside its main component are joined with all, block by block. Links inside a found component add
+nothing and are skipped.
 
 Nodes are known by 64-bit digests of their sets.
 
@@ -23,6 +26,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -47,6 +51,8 @@ SHARE, MAX_FREQUENT, SLACK = 0.002, 500_000, 0.15
 #: Times that regions are cut anew, from the second time on only those of more than REGION nodes.
 LEVELS = 3
 _CELL, _PIVOTS = 48, 6
+#: Pivots of a region that is cut by many tasks, how often its cells are cut again, and to how many copies of its sets at most.
+PIVOTS, ROUNDS, COPIES = 32, 4, 3
 
 
 class Shingles:
@@ -247,14 +253,15 @@ def frequent_shingles(docs: DataFrame, w: int) -> np.ndarray:
 class Region:
     """The metric join of sets held in memory; links are gathered in a forest."""
 
-    def __init__(self, sets: list[np.ndarray], percent: int):
+    def __init__(self, sets: list[np.ndarray], percent: int, root: np.ndarray | None = None):
         self.sizes = np.array([len(s) for s in sets], np.int64)
         flat = np.concatenate(sets)
         names, self.codes = np.unique(flat, return_inverse=True)
         self.begin = np.cumsum(self.sizes) - self.sizes
         self.mark = np.zeros(len(names), bool)
         self.percent, self.radius = percent, 1 - percent / 100 + 1e-9
-        self.root, self.links = np.arange(len(sets)), []
+        #: Sets of one root are known to be in one component.
+        self.root, self.links = np.arange(len(sets)) if root is None else np.unique(root, return_inverse=True)[1], []
 
     def _codes(self, members: np.ndarray) -> np.ndarray:
         n = self.sizes[members]
@@ -301,13 +308,13 @@ class Region:
 
 def _join_regions(t: pa.Table, w: int, percent: int) -> pa.Table:
     """Links of the regions of a table, as a forest."""
-    region, node = (np.array(t.column(c).to_pylist(), np.int64) for c in ("region", "node"))
+    region, node, root = (np.array(t.column(c).to_pylist(), np.int64) for c in ("region", "node", "root"))
     make, plain, out = Shingles(w), zstandard.ZstdDecompressor(), []
     packed = t.column("packed")
     order = np.argsort(region, kind="stable")
     for own in np.split(order, np.flatnonzero(np.diff(region[order])) + 1):
         own = own[np.unique(node[own], return_index=True)[1]]
-        found = Region([make.of_bytes(plain.decompress(packed[int(i)].as_py())) for i in own], percent)
+        found = Region([make.of_bytes(plain.decompress(packed[int(i)].as_py())) for i in own], percent, root[own])
         found.join(np.arange(len(own)))
         out += [(int(node[own[i]]), int(node[own[j]])) for i, j in found.links]
     del make
@@ -315,6 +322,97 @@ def _join_regions(t: pa.Table, w: int, percent: int) -> pa.Table:
     return pa.table([pa.array([x for x, _ in out], pa.int64()), pa.array([y for _, y in out], pa.int64())], names=["a", "b"])
 
 
+def _to_pivots(sets: list[np.ndarray], pivots: list[np.ndarray], step: int = 100_000) -> np.ndarray:
+    """Sizes of the intersections of sets with up to 64 pivots."""
+    table, at = np.unique(np.concatenate(pivots), return_inverse=True)
+    bits = np.zeros(len(table), np.uint64)
+    np.bitwise_or.at(bits, at, np.repeat(np.uint64(1) << np.arange(len(pivots), dtype=np.uint64), [len(x) for x in pivots]))
+    out, first = np.zeros((len(sets), len(pivots)), np.int64), 0
+    while first < len(sets):
+        last, total = first + 1, len(sets[first])
+        while last < len(sets) and total + len(sets[last]) <= step:
+            total += len(sets[last])
+            last += 1
+        flat = np.concatenate(sets[first:last])
+        place = np.minimum(np.searchsorted(table, flat), len(table) - 1)
+        hit = np.where(table[place] == flat, bits[place], np.uint64(0))
+        of = np.repeat(np.arange(first, last), [len(x) for x in sets[first:last]])
+        for j in range(len(pivots)):
+            out[:, j] += np.bincount(of[(hit >> np.uint64(j)) & np.uint64(1) == 1], minlength=len(sets))[: len(sets)]
+        first = last
+    return out
+
+
+def _assign(members: pa.Table, pivots: pa.Table, w: int, percent: int) -> pa.Table:
+    """For each set of a region the cells it joins, its own first, and the pivots within the radius."""
+    make, plain = Shingles(w), zstandard.ZstdDecompressor()
+    of = lambda c: [make.of_bytes(plain.decompress(x.as_py())) for x in c]
+    sets, centres = of(members.column("packed")), of(pivots.column("text"))
+    named = np.array(pivots.column("pivot").to_pylist(), np.int64)
+    inter = _to_pivots(sets, centres)
+    sizes = np.array([len(x) for x in sets], np.int64)
+    union = sizes[:, None] + np.array([len(x) for x in centres], np.int64)[None, :] - inter
+    near, far = 100 * inter >= percent * union, 1 - inter / union
+    least = far.min(1, keepdims=True)
+    joins = far <= least + 2 * (1 - percent / 100) + 1e-9
+    region = np.array(members.column("region").to_pylist(), np.int64)
+    cell = mix((mix(named.view(np.uint64)) + np.uint64(1))[None, :] ^ region.view(np.uint64)[:, None]).view(np.int64)
+    del make, sets, centres
+    release()
+    return pa.table([members.column("node"), members.column("packed"), members.column("set_size"), members.column("region"), pa.array([c[j].tolist() for c, j in zip(cell, joins, strict=True)], pa.list_(pa.int64())), pa.array([named[j].tolist() for j in near], pa.list_(pa.int64()))], names=["node", "packed", "set_size", "region", "cells", "near"])
+
+
+def by_cells(large: DataFrame, w: int, percent: int, region: int) -> tuple[DataFrame, DataFrame | None]:
+    """(links, rows of _join_regions that hold the others) of large regions: node, packed, set_size, region.
+
+    Every round cuts all large regions into Voronoi cells by tasks of about region sets each.
+    """
+    weight = lambda size, shingles: F.greatest(F.ceil(size / region), F.ceil(shingles / REGION_SHINGLES)).cast("int")
+    current, links, ready = large.withColumns({"root": F.col("node"), "main": F.lit(False)}), [], []
+
+    def measured(rows: DataFrame) -> DataFrame:
+        """rows with size and blocks of their region, and main: whether a set is in its region's largest component."""
+        by_root = rows.groupBy("region", "root").agg(F.count(F.lit(1)).alias("n"), F.sum("set_size").alias("shingles"))
+        of = by_root.groupBy("region").agg(F.sum("n").alias("size"), F.sum("shingles").alias("all"), F.max(F.struct("n", "root"))["root"].alias("top"), F.count(F.lit(1)).alias("roots"))
+        of = materialize(of.select("region", "size", "top", "roots", weight(F.col("size"), F.col("all")).alias("blocks"), F.lit("").alias("none")), "cell-sizes", rows=0)
+        met = rows.drop("main").join(broadcast_if_small(of, "none").drop("none"), "region").where("roots > 1")
+        return met.withColumn("main", F.col("root") == F.col("top")).drop("top", "roots")
+
+    current = materialize(measured(current), "large-regions")
+    for _ in range(ROUNDS):
+        slot = F.pmod(F.xxhash64(F.lit(3), "node"), F.lit(PIVOTS))
+        chosen = current.groupBy("region", slot.alias("slot")).agg(F.min(F.struct("main", F.xxhash64(F.lit(4), "node").alias("o"), "node"))["node"].alias("p"))
+        chosen = materialize(chosen.select(F.col("region").alias("p_region"), "p", F.lit("").alias("none")), "pivots", rows=0)
+        pivots = current.join(broadcast_if_small(chosen, "none"), (F.col("region") == F.col("p_region")) & (F.col("node") == F.col("p"))).select(F.col("region").alias("in"), F.col("node").alias("pivot"), F.col("packed").alias("text"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("at"))
+        own = current.withColumn("block", F.pmod(F.xxhash64(F.lit(5), "node"), F.col("blocks").cast("long")).cast("int")).select("region", "block", "node", "packed", "set_size")
+        cut = own.groupBy("region", "block").cogroup(pivots.groupBy("in", "at")).applyInArrow(lambda a, b: _assign(a, b, w, percent), "node long, packed binary, set_size long, region long, cells array<long>, near array<long>")
+        cut = materialize(cut, "cells")
+        links.append(materialize(cut.select("node", F.explode("near").alias("b")).where("node <> b").select(F.col("node").alias("a"), "b"), "cell-links"))
+        every = reduce(DataFrame.unionByName, links)
+        roots = connected_components(every, rows=every.count()).withColumnsRenamed({"node": "r_node", "root": "r_root"})
+        before = current.count()
+        known = lambda rows: rows.join(roots, F.col("node") == F.col("r_node"), "left").withColumn("root", F.coalesce("r_root", "node")).drop("r_node", "r_root")
+        cells = materialize(measured(known(cut.select("node", "packed", "set_size", F.explode("cells").alias("region")))), "cells")
+        if cells.count() > COPIES * before:  # pivots don't part these regions
+            current = materialize(measured(known(cut.select("node", "packed", "set_size", "region"))), "large-regions")
+            break
+        ready.append(cells.where("blocks = 1"))
+        current = cells.where("blocks > 1")
+        now = current.count()
+        if not now or now > 0.8 * before:
+            break
+    out = [x.select(F.pmod(F.xxhash64("region"), F.lit(256)).alias("g"), F.lit(0).alias("i"), F.lit(0).alias("j"), "region", "node", "root", "packed") for x in ready]
+    if not current.isEmpty():
+        # Sets outside the main component, in blocks, meet all blocks.
+        rest = current.where("NOT main").groupBy("region").agg(weight(F.count(F.lit(1)), F.sum("set_size")).alias("few")).withColumn("none", F.lit(""))
+        both = current.join(broadcast_if_small(materialize(rest, "rest", rows=0), "none").drop("none"), "region")
+        block = lambda n: F.pmod(F.xxhash64(F.lit(6), "node"), n.cast("long")).cast("int")
+        upto = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+        out.append(both.select(F.col("region").alias("g"), upto(F.col("few")).alias("i"), block(F.col("blocks")).alias("j"), "region", "node", "root", "packed"))
+        out.append(both.where("NOT main").select(F.col("region").alias("g"), block(F.col("few")).alias("i"), upto(F.col("blocks")).alias("j"), "region", "node", "root", "packed"))
+    return reduce(DataFrame.unionByName, links), reduce(DataFrame.unionByName, out) if out else None
+
+
 def jaccard_components(docs: DataFrame, w: int = SHINGLE, percent: int = PERCENT, region: int = REGION) -> DataFrame:
     """doc_id, k, n_shingles, node (of its set), root (one node of the component, null without shingles) and component_id: the least doc_id that links reach."""
     size = text_bytes(docs)
@@ -337,11 +435,11 @@ def jaccard_components(docs: DataFrame, w: int = SHINGLE, percent: int = PERCENT
         sizes = found.groupBy("region").agg(F.count(F.lit(1)).alias("size"))
         return materialize(found.join(sizes, "region").select("node", "region", "size"), "regions", rows=n)
 
-    def brought(nodes: DataFrame, n: int, size: str = "size") -> DataFrame:
+    def brought(nodes: DataFrame, n: int, *size: str) -> DataFrame:
         """Texts of n nodes: one document of each brings the set."""
-        bring = rows.join(nodes, "node").groupBy("node", "region", size).agg(F.min(F.struct("doc_id", "k")).alias("d"))
-        bring = materialize(bring.select(F.col("d.doc_id").alias("b_id"), F.col("d.k").alias("b_k"), "node", "region", size, F.lit("").alias("none")), "bring", rows=n)
-        return base.join(broadcast_if_small(bring, "none"), F.col("doc_id").eqNullSafe(F.col("b_id")) & (F.col("k") == F.col("b_k"))).select("doc_id", "k", "text", "node", "region", size)
+        bring = rows.join(nodes, "node").groupBy("node", "region", *size).agg(F.min(F.struct("doc_id", "k")).alias("d"))
+        bring = materialize(bring.select(F.col("d.doc_id").alias("b_id"), F.col("d.k").alias("b_k"), "node", "region", *size, F.lit("").alias("none")), "bring", rows=n)
+        return base.join(broadcast_if_small(bring, "none"), F.col("doc_id").eqNullSafe(F.col("b_id")) & (F.col("k") == F.col("b_k"))).select("doc_id", "k", "text", "node", "region", *size)
 
     met = agreements(base.withColumn("region", F.lit(0).cast("long")))
     rows = met.where("part IS NULL").select(F.explode(F.arrays_zip("doc_id", "k", "node", "n")).alias("r")).select("r.*")
@@ -357,25 +455,30 @@ def jaccard_components(docs: DataFrame, w: int = SHINGLE, percent: int = PERCENT
         if not now[0] or now == before:
             break
         before = now if level else -1
-        regions = materialize(regions.where(~again).unionByName(cut(agreements(brought(large, now[0])))), "regions", rows=now[0])
+        regions = materialize(regions.where(~again).unionByName(cut(agreements(brought(large, now[0], "size")))), "regions", rows=now[0])
     n_left = regions.count()
     sized = regions.join(rows.groupBy("node").agg(F.max("n").alias("set_size")), "node")
     weights = sized.groupBy("region").agg(F.sum("set_size").alias("weight"))
     blocks = F.greatest(F.ceil(F.col("size") / region), F.ceil(F.col("weight") / REGION_SHINGLES)).cast("int")
-    sets = brought(sized.join(weights, "region").select("node", "region", blocks.alias("blocks")), n_left, "blocks")
+    sets = brought(sized.join(weights, "region").select("node", "region", "set_size", blocks.alias("blocks")), n_left, "set_size", "blocks")
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # A compressed text takes a third of the bytes of its set, so texts travel and regions make the sets.
         press = zstandard.ZstdCompressor(level=3)
+        names = ("node", "region", "set_size", "blocks")
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([*map(batch.column, ("node", "region", "blocks")), pa.array([press.compress(x.as_py().encode().lower()) for x in batch.column("text")], pa.binary())], names=["node", "region", "blocks", "packed"])
-
-    sets = sets.select("node", "region", "blocks", "text").mapInArrow(packed, "node long, region long, blocks int, packed binary")
-    own = F.pmod(F.xxhash64("node"), F.col("blocks").cast("long")).cast("int")
-    small = F.col("blocks") == 1
-    sets = sets.withColumn("own", own)
-    sets = sets.select("region", "node", "packed", "own", F.when(small, F.pmod(F.xxhash64("region"), F.lit(n_buckets * 4).cast("long"))).otherwise(F.col("region")).alias("g"), F.explode(F.when(small, F.array(F.lit(-1))).otherwise(F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: j != F.col("own")))).alias("other"))
-    links = sets.groupBy("g", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j")).applyInArrow(lambda t: _join_regions(t, w, percent), "a long, b long")
+            yield pa.RecordBatch.from_arrays([*map(batch.column, names), pa.array([press.compress(x.as_py().encode().lower()) for x in batch.column("text")], pa.binary())], names=[*names, "packed"])
+
+    sets = sets.select("node", "region", "set_size", "blocks", "text").mapInArrow(packed, "node long, region long, set_size long, blocks int, packed binary")
+    joined = lambda rows: rows.groupBy("g", "i", "j").applyInArrow(lambda t: _join_regions(t, w, percent), "a long, b long")
+    group = ("region", "node", F.col("node").alias("root"), "packed")
+    if sized.join(weights, "region").where(blocks > 1).isEmpty():
+        links = joined(sets.select(F.pmod(F.xxhash64("region"), F.lit(n_buckets * 4)).alias("g"), F.lit(0).alias("i"), F.lit(0).alias("j"), *group))
+    else:
+        sets = materialize(sets, "sets")
+        links = joined(sets.where("blocks = 1").select(F.pmod(F.xxhash64("region"), F.lit(n_buckets * 4)).alias("g"), F.lit(0).alias("i"), F.lit(0).alias("j"), *group))
+        more, rest = by_cells(sets.where("blocks > 1").select("node", "packed", "set_size", "region"), w, percent, region)
+        links = links.unionByName(more) if rest is None else links.unionByName(more).unionByName(joined(rest))
     links = materialize(links, "links")
     roots = connected_components(links, rows=links.count())
     rows = rows.join(roots, "node", "left").withColumn("c", F.when(F.col("n") > 0, F.coalesce("root", "node")))

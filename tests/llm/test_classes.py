@@ -2,8 +2,9 @@
 
 import numpy as np
 import pytest
+import zstandard
 
-from ruleweave.llm.jaccard_join import Classes
+from ruleweave.llm.jaccard_join import Classes, _join_regions, by_cells, jaccard_components
 
 
 @pytest.mark.parametrize("percent", [80, 90])
@@ -25,3 +26,59 @@ def test_linked_sets_share_a_signature_however_many_shingles_are_frequent(percen
         assert 100 * len(np.intersect1d(a, b)) >= percent * len(np.union1d(a, b))
         if len(a) != len(b) or (a != b).any():
             assert np.intersect1d(classes.signatures(a), classes.signatures(b)).size
+
+
+def near_copies(seed: int) -> list[tuple[int, str]]:
+    """Groups of near copies, chains in which only neighbours link, and texts of their own."""
+    rng = np.random.default_rng(seed)
+    words = [f"w{i}" for i in range(2000)]
+    say = lambda n: rng.choice(words, n).tolist()
+    out = []
+    for n in (90, 60):
+        base = say(60)
+        for _ in range(n):
+            own = list(base)
+            for i in rng.integers(0, 60, int(rng.integers(0, 4))):
+                own[int(i)] = str(rng.choice(words))
+            out.append(own)
+    chain = say(160)
+    out += [chain[i : i + 60] for i in range(0, 100, 3)] + [say(40) for _ in range(40)]
+    return [(i, " ".join(x)) for i, x in enumerate(out)]
+
+
+@pytest.mark.parametrize(("seed", "percent"), [(1, 80), (2, 60), (3, 90)])
+def test_large_regions_are_cut_into_cells(spark, seed, percent):
+    rows = near_copies(seed)
+    sets = [frozenset(zip(w, w[1:], w[2:], strict=False)) for w in (t.split() for _, t in rows)]
+    group = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            if group[i] != group[j] and 100 * len(sets[i] & sets[j]) >= percent * len(sets[i] | sets[j]):
+                group = [group[j] if g == group[i] else g for g in group]
+    least = {g: min(i for i, x in enumerate(group) if x == g) for g in set(group)}
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = {r.doc_id: r.component_id for r in jaccard_components(docs, 3, percent, region=12).collect()}
+    assert got == {i: least[g] for i, g in enumerate(group)}
+
+
+@pytest.mark.parametrize("alike", [True, False])
+def test_cells_alone_find_all_links(spark, alike):
+    """One region of all texts; with nothing alike, pivots part nothing and all blocks meet."""
+    rows = near_copies(7) if alike else [(i, " ".join(f"x{i}_{j // 2}" if j % 2 else "and" for j in range(40))) for i in range(60)] + [(100, " ".join(f"x3_{j // 2}" if j % 2 else "and" for j in range(41)))]
+    sets = {i: frozenset(zip(w, w[1:], w[2:], strict=False)) for i, w in ((i, t.split()) for i, t in rows)}
+    press = zstandard.ZstdCompressor().compress
+    region = spark.createDataFrame([(i, press(t.encode()), len(sets[i]), 1) for i, t in rows], "node long, packed binary, set_size long, region long")
+    links, rest = by_cells(region, 3, 80, 12)
+    found = [tuple(r) for r in links.collect()]
+    if rest is not None:
+        found += [tuple(r) for r in rest.groupBy("g", "i", "j").applyInArrow(lambda t: _join_regions(t, 3, 80), "a long, b long").collect()]
+    assert all(100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]) for a, b in found)
+
+    def parts(links):
+        group = {i: i for i in sets}
+        for a, b in links:
+            x, y = group[a], group[b]
+            group = {i: y if g == x else g for i, g in group.items()}
+        return {frozenset(i for i in group if group[i] == g) for g in set(group.values())}
+
+    assert parts(found) == parts((a, b) for a in sets for b in sets if a < b and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]))
