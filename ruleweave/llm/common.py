@@ -7,7 +7,7 @@ import re
 import string
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -48,15 +48,33 @@ def materialize(df: DataFrame, name: str, compression: str = "zstd", rows: int |
 
     Where about as many narrow rows are expected, they go to files of ROWS_A_FILE, not to one for each shuffle partition.
 
-    The shuffles behind df are of no more use then, but Spark keeps their files until the driver collects its garbage; it
-    is asked to, so that the disk holds those of one step and not of all.
+    The shuffles behind a wide df are of no more use then, but Spark keeps their files until the driver collects its garbage;
+    it is asked to, so that the disk holds those of one step and not of all. discard() deletes the table.
     """
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     if rows is not None:
         df = df.coalesce(max(6, -(-rows // ROWS_A_FILE)))
     df.write.option("compression", compression).parquet(path)
-    df.sparkSession.sparkContext._jvm.System.gc()
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    if rows is None:
+        df.sparkSession.sparkContext._jvm.System.gc()
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._written = path
+    return out
+
+
+def discard(*tables: DataFrame | None) -> None:
+    """Delete tables that materialize() wrote and that nothing reads any more; others are left alone."""
+    for df in tables:
+        if df is not None and (path := getattr(df, "_written", None)):
+            spark = df.sparkSession
+            p = spark._jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def salted_join(rows: DataFrame, found: DataFrame, key: str, by: Iterable[str], salts: int = 16) -> DataFrame:
+    """rows with found's columns (one row a key), left; found is copied, so that no key's rows meet in one task."""
+    own = rows.withColumn("salt", F.pmod(F.xxhash64(*by), F.lit(salts)).cast("int"))
+    return own.join(found.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))), [key, "salt"], "left").drop("salt")
 
 
 def fewer_tasks(df: DataFrame, rows: int, each: int = 10_000) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import discard, materialize
 
 #: A node's links are dealt over so many rows of its least neighbour, so that a hub's links don't meet in one task.
 SALTS = 8
@@ -34,7 +34,8 @@ def connected_components(links: DataFrame, max_rounds: int = 60, rows: int | Non
         # Small star: u and its neighbours below go to the least of them.
         low = large.groupBy(F.col("a").alias("u")).agg(F.min("b").alias("m"))
         small = _with_least(large, low).where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(low.select(F.col("u").alias("a"), F.col("m").alias("b")))
-        edges = materialize(small.where("a <> b").distinct(), "stars", rows=rows)
+        old, edges = edges, materialize(small.where("a <> b").distinct(), "stars", rows=rows)
+        discard(old)
         now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == last:
             break

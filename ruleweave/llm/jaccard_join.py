@@ -35,7 +35,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, broadcast_if_small, bucket_of, buckets_for, keyed, materialize, mix, pack, release, text_bytes, unpack, whole_ids
+from .common import WordHashes, broadcast_if_small, bucket_of, buckets_for, discard, keyed, materialize, mix, pack, release, salted_join, text_bytes, unpack, whole_ids
 from .components import connected_components
 from .substring_dedup import Rolling
 
@@ -397,6 +397,7 @@ def by_cells(large: DataFrame, w: int, percent: int, region: int) -> tuple[DataF
             current = materialize(measured(known(cut.select("node", "packed", "set_size", "region"))), "large-regions")
             break
         ready.append(cells.where("blocks = 1"))
+        discard(cut)
         current = cells.where("blocks > 1")
         now = current.count()
         if not now or now > 0.8 * before:
@@ -433,7 +434,9 @@ def jaccard_components(docs: DataFrame, w: int = SHINGLE, percent: int = PERCENT
         n = pairs.count()
         found = connected_components(pairs, rows=n).withColumnRenamed("root", "region")
         sizes = found.groupBy("region").agg(F.count(F.lit(1)).alias("size"))
-        return materialize(found.join(sizes, "region").select("node", "region", "size"), "regions", rows=n)
+        out = materialize(found.join(sizes, "region").select("node", "region", "size"), "regions", rows=n)
+        discard(pairs)
+        return out
 
     def brought(nodes: DataFrame, n: int, *size: str) -> DataFrame:
         """Texts of n nodes: one document of each brings the set."""
@@ -455,7 +458,9 @@ def jaccard_components(docs: DataFrame, w: int = SHINGLE, percent: int = PERCENT
         if not now[0] or now == before:
             break
         before = now if level else -1
-        regions = materialize(regions.where(~again).unionByName(cut(agreements(brought(large, now[0], "size")))), "regions", rows=now[0])
+        old, met_again = regions, agreements(brought(large, now[0], "size"))
+        regions = materialize(old.where(~again).unionByName(cut(met_again)), "regions", rows=now[0])
+        discard(old, met_again)
     n_left = regions.count()
     sized = regions.join(rows.groupBy("node").agg(F.max("n").alias("set_size")), "node")
     weights = sized.groupBy("region").agg(F.sum("set_size").alias("weight"))
@@ -483,7 +488,7 @@ def jaccard_components(docs: DataFrame, w: int = SHINGLE, percent: int = PERCENT
     roots = connected_components(links, rows=links.count())
     rows = rows.join(roots, "node", "left").withColumn("c", F.when(F.col("n") > 0, F.coalesce("root", "node")))
     least = rows.where("n > 0").groupBy("c").agg(F.min("doc_id").alias("least"))
-    return rows.join(least, "c", "left").select("doc_id", "k", F.col("n").alias("n_shingles"), "node", F.col("c").alias("root"), F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("doc_id")).alias("component_id"))
+    return salted_join(rows, least, "c", ("doc_id", "k")).select("doc_id", "k", F.col("n").alias("n_shingles"), "node", F.col("c").alias("root"), F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
 ORACLE = r"""

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import discard, materialize, salted_join
 
 _quoted = re.compile(r"[ \t]*((?:>[ \t]?)+)(.*)", re.S).fullmatch
 
@@ -103,12 +103,6 @@ def ranked(rows: DataFrame, order: list[str], ties: list[str], name: str) -> Dat
     return placed.withColumns({"rank": (F.col("base") + F.col("at")).cast("long"), "prior": F.coalesce("prior", "older")}).drop("part", "at", "base", "older")
 
 
-def salted_join(rows: DataFrame, found: DataFrame, key: str, by: Iterable[str], salts: int = 16) -> DataFrame:
-    """rows with found's columns (one row a key), left; found is copied, so that no key's rows meet in one task."""
-    own = rows.withColumn("salt", F.pmod(F.xxhash64(*by), F.lit(salts)).cast("int"))
-    return own.join(found.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))), [key, "salt"], "left").drop("salt")
-
-
 def on_circles(links: DataFrame, rounds: int = 20) -> DataFrame | None:
     """c: conversations that a circle of links (a, b) may hold. Those without links in, or without links out, are peeled off."""
     links = materialize(links.distinct(), "between")
@@ -116,7 +110,9 @@ def on_circles(links: DataFrame, rounds: int = 20) -> DataFrame | None:
     for _ in range(rounds):
         if not n:
             return None
+        old = links
         links = materialize(links.join(links.select(F.col("a").alias("b")).distinct(), "b", "left_semi").join(links.select(F.col("b").alias("a")).distinct(), "a", "left_semi"), "between", rows=n)
+        discard(old)
         n, last = links.count(), n
         if n == last:
             break
@@ -132,6 +128,7 @@ def in_reply_order(placed: DataFrame, rounds: int = 64) -> DataFrame:
         above = tree.select("conv_id", F.col("place").alias("top"), F.col("top").alias("top2"), F.col("depth").alias("more"))
         new = materialize(tree.join(above, ["conv_id", "top"]).select("conv_id", "place", "up", F.col("top2").alias("top"), (F.col("depth") + F.col("more")).alias("depth")), "threads")
         done = new.join(tree.select("conv_id", "place", F.col("top").alias("old")), ["conv_id", "place"]).where("top != old").isEmpty()
+        discard(tree)
         tree = new
         if done:
             break
@@ -158,6 +155,7 @@ def link(messages: DataFrame) -> DataFrame:
 
     parsed = materialize(named.mapInArrow(run, "conv_id long, turn long, role string, id long, own_text string, said array<string>, quoted array<struct<level:int,pieces:array<struct<size:int,h:string>>>>"), "messages")
     placed = materialize(ranked(parsed, ["turn", "id"], ["own_text"], "in-turn-order").withColumnsRenamed({"rank": "place", "prior": "before"}), "messages")
+    discard(parsed)
     quotes = placed.select("conv_id", "turn", F.col("place").alias("own"), F.posexplode("quoted").alias("passage", "q")).select("conv_id", "turn", "own", "passage", "q.level", F.explode("q.pieces").alias("p")).select("conv_id", "turn", "own", "passage", "level", "p.*").distinct()
     quotes = materialize(quotes, "quotes")
     asked = quotes.select("h").distinct()
