@@ -183,6 +183,56 @@ def test_quality_counts(docs):
     assert not any(r.kept and r.base_failed for r in got)
 
 
+def test_triples_are_told_apart():
+    rng = np.random.default_rng(5)
+    for n in (3, 2_000_000, 4_000_000):
+        ids = np.concatenate((rng.integers(0, n, 200), np.arange(20) % 3)).astype(np.uint64)
+        got = quality_rules.triples(ids, n).tolist()
+        want = [tuple(ids[i : i + 3].tolist()) for i in range(len(ids) - 2)]
+        assert all((got[i] == got[j]) == (want[i] == want[j]) for i in range(len(got)) for j in range(i))
+
+
+def test_divergence_by_brute_force(spark):
+    """Distances, limits and verdicts; two languages of other scripts and words under one label are told apart."""
+    rng = np.random.default_rng(17)
+    tongues = {"xx": [f"mot{i}" for i in range(60)], "yy": [f"слово{i}" for i in range(60)], "zz": [f"言葉{i}" for i in range(40)]}
+    rows = [(i, " ".join(rng.choice(tongues[g], int(rng.integers(100, 160)), p=np.arange(len(tongues[g]), 0, -1) / np.arange(len(tongues[g]) + 1).sum())), g) for i, g in enumerate(["xx", "yy", "zz"] * 40)]
+    rows += [(900, " ".join(rng.choice(tongues["yy"], 150)), "xx"), (901, " ".join(f"other{i}" for i in range(150)), "xx"), (902, None, "xx"), (903, "short", None), (904, "| # % " * 60, "yy"), (905, " ".join(f"odd{i}" for i in range(120)) + " 𠀀𠀁😀", None)]
+    plain = lambda w: re.sub("[A-Z]", lambda m: m[0].lower(), w).strip(".,;:!?'\"()")
+    held, n_docs = defaultdict(Counter), Counter(g for *_, g in rows)
+    for _, t, g in rows:
+        held[g].update({plain(w) for w in (t or "").split()})
+    common = {g: [w for w, n in sorted(c.items(), key=lambda x: (-x[1], x[0].encode())) if w and n >= 0.01 * n_docs[g]][:150] for g, c in held.items()}
+    share = lambda x: np.array(x) / max(1, sum(x))
+    words_of = {i: share([sum(plain(w) == c for w in (t or "").split()) for c in common[g]] + [0] * (150 - len(common[g])) + [sum(plain(w) not in common[g] for w in (t or "").split())]) for i, t, g in rows}
+    classes_of = {i: share([sum(quality_rules._class(ord(c)) == k if ord(c) < 0x10000 else quality_rules.CLASSES[k] == ("Han" if ord(c) >= 0x20000 else "other") for c in t or "") for k in range(len(quality_rules.CLASSES))]) for i, t, _ in rows}
+    got = {r.doc_id: r for r in quality_rules.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    passing = {i for i in got if not got[i].base_failed}
+
+    def apart(p, q):
+        m = (p + q) / 2
+        return np.sqrt(max(0, sum(x * np.log2(x / z) for x, z in zip(p, m, strict=True) if x) / 2 + sum(y * np.log2(y / z) for y, z in zip(q, m, strict=True) if y) / 2))
+
+    far = {}
+    for g in n_docs:
+        own = [i for i, _, x in rows if x == g and i in passing]
+        for i, t, x in rows:
+            if x == g and own:
+                far[i] = tuple(apart(of[i], np.mean([of[j] for j in own], 0)) if n >= least else None for of, n, least in ((classes_of, sum(not c.isspace() for c in t or ""), 200), (words_of, len((t or "").split()), 100)))
+        spread = sorted(int(far[i][1] * 1000) for i in own if far[i][1] is not None)
+        if spread:
+            low, mid = (spread[-(-len(spread) * k // 4) - 1] for k in (1, 2))
+            limit = max(0.36, (mid + 0.5 + 2.5 * (mid - low)) / 1000)
+            for i, _, x in rows:
+                if x == g:
+                    assert abs(got[i].word_limit - limit) < 1e-9
+                    assert got[i].kept == (i in passing and (far[i][0] or 0) <= 0.22 and (far[i][1] or 0) <= limit)
+    for i, (a, b) in far.items():
+        for x, y in ((got[i].class_distance, a), (got[i].word_distance, b)):
+            assert (x is None) == (y is None) and (x is None or abs(x - y) < 1e-6)
+    assert sum(got[i].kept for i in range(120)) >= 117 and not any(got[i].kept for i in (900, 901, 902, 904))
+
+
 def test_distance(spark):
     p, q = np.array([0.5, 0.5, 0.0]), np.array([0.1, 0.2, 0.7])
     m = (p + q) / 2
