@@ -5,8 +5,6 @@ from __future__ import annotations
 import ctypes
 import re
 import string
-import tempfile
-import uuid
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -16,29 +14,12 @@ import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.shared import discard, shared_dir, written  # noqa: F401  (operators take them from here)
+
 #: Python's bytes.split() splits at exactly these characters: [\x20\x09-\x0D].
 SPACE = r"[\x20\x09-\x0D]"
 _space = re.compile(SPACE.encode()).search
 
-_own_dir: dict[str, str] = {}
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, from spark.checkpoint.dir.
-
-    Where the setting is absent, a local master gets a folder of its own; a cluster must name one.
-    """
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if named:
-        return named.rstrip("/")
-    app = spark.sparkContext.applicationId
-    if app not in _own_dir:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        _own_dir[app] = "file://" + tempfile.mkdtemp(prefix="ruleweave-")
-    return _own_dir[app]
-
-
 #: Rows of small tables (a few numbers each) in a file.
 ROWS_A_FILE = 500_000
 
@@ -51,26 +32,13 @@ def materialize(df: DataFrame, name: str, compression: str = "zstd", rows: int |
     The shuffles behind a wide df are of no more use then, but Spark keeps their files until the driver collects its garbage;
     it is asked to, so that the disk holds those of one step and not of all. discard() deletes the table.
     """
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     if rows is not None:
-        df = df.coalesce(max(6, -(-rows // ROWS_A_FILE)))
-    df.write.option("compression", compression).parquet(path)
-    if rows is None:
-        df.sparkSession.sparkContext._jvm.System.gc()
-    out = df.sparkSession.read.schema(df.schema).parquet(path)
-    out._written = path
+        return written(df.coalesce(max(6, -(-rows // ROWS_A_FILE))), name, compression)
+    out = written(df, name, compression)
+    df.sparkSession.sparkContext._jvm.System.gc()
     return out
 
 
-def discard(*tables: DataFrame | None) -> None:
-    """Delete tables that materialize() wrote and that nothing reads any more; others are left alone."""
-    for df in tables:
-        if df is not None and (path := getattr(df, "_written", None)):
-            spark = df.sparkSession
-            p = spark._jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
-
-
 def salted_join(rows: DataFrame, found: DataFrame, key: str, by: Iterable[str], salts: int = 16) -> DataFrame:
     """rows with found's columns (one row a key), left; found is copied, so that no key's rows meet in one task."""
     own = rows.withColumn("salt", F.pmod(F.xxhash64(*by), F.lit(salts)).cast("int"))
