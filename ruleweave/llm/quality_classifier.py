@@ -31,7 +31,7 @@ from .common import WordHashes, fewer_tasks, materialize, release
 #: Buckets of words and of word pairs; the model's size.
 WORDS, PAIRS = 1 << 17, 1 << 16
 #: Labelled documents in the sample, of each kind at most.
-SAMPLE = 20_000
+SAMPLE, SLOTS = 20_000, 32
 #: Occurrences added to both of a bucket's counts, and at how many standard deviations of chance a log ratio counts half.
 PRIOR, SIGMAS = 0.5, 3.5
 #: A good document lost counts as so many bad ones kept, where the offset is fitted.
@@ -51,10 +51,15 @@ def ngrams(text: str | None, hashes: WordHashes) -> tuple[np.ndarray, np.ndarray
 
 
 def labelled_sample(labels: DataFrame, size: int = SAMPLE) -> DataFrame:
-    """(l_id, good) of at most 2 * size documents, the first of each kind by a digest of doc_id, taken by slots."""
+    """(l_id, good) of at most 2 * size documents, the first of each kind by a digest of doc_id.
+
+    One of each of SLOTS * size slots of digests is looked at, so that no task gathers all labels.
+    """
     judged = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy(F.col("doc_id").alias("l_id")).agg((F.min("quality").eqNullSafe(1) & (F.coalesce(F.max("toxic"), F.lit(0)) == 0)).alias("good"))
-    slot = F.pmod(F.xxhash64(F.lit(SEED), "l_id"), F.lit(size).cast("long"))
-    return judged.groupBy("good", slot.alias("slot")).agg(F.min("l_id").alias("l_id")).select("l_id", "good")
+    slot = F.pmod(F.xxhash64(F.lit(SEED), "l_id"), F.lit(size * SLOTS).cast("long"))
+    one = judged.groupBy("good", slot.alias("slot")).agg(F.min("l_id").alias("l_id"))
+    kind = lambda good: one.where(F.col("good") == good).orderBy("slot").limit(size).select("l_id", "good")
+    return kind(True).unionByName(kind(False))
 
 
 def shrinkage(count: np.ndarray, expected: np.ndarray) -> np.ndarray:
