@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-from .common import buckets_for, pack, text_bytes, texts, unpack
+from .common import buckets_for, pack, release, text_bytes, texts, unpack
 
 #: Pre-tokens of a block; a longer text forms a block alone.
 BLOCK = 2_000_000
@@ -148,6 +148,8 @@ def _blocks(batches: Iterator[pa.RecordBatch], pattern: str, n_buckets: int) ->
                 yield flush()
     if ids:
         yield flush()
+    del local, seqs
+    release()
 
 
 def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str) -> DataFrame:
@@ -180,6 +182,8 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str) -> DataFrame:
             blocks.append(block.as_py())
             counts.append(pack(np.fromiter(map(len, out), np.uint32, len(out)) // np.uint32(4)))
             tokens.append(pack(np.frombuffer(b"".join(out), np.uint32)))
+        del known
+        release()
         done = {"block": blocks, "kind": [1] * len(blocks), "bucket": t.column("bucket"), "a": tokens, "b": counts, "c": [None] * len(blocks), "doc_ids": [None] * len(blocks)}
         return pa.table([x if isinstance(x, pa.ChunkedArray) else pa.array(x, t.schema.field(c).type) for c, x in done.items()], names=list(done))
 
@@ -212,6 +216,8 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str) -> DataFrame:
             done = [flat[i:j].tobytes() for i, j in zip(cuts, cuts[1:], strict=False)]
             yield pa.RecordBatch.from_arrays([pa.array(heads[0]["doc_ids"][first:last], doc_id_type), pa.array([len(x) // 4 for x in done], pa.int64()), pa.array(done, pa.binary())], names=["doc_id", "n_tokens", "ids"])
             first = last
+        del tokens, count, start, seq, bucket
+        release()
 
     return rows.groupBy("block").applyInArrow(reassemble, f"doc_id {id_type}, n_tokens long, ids binary")
 
@@ -229,5 +235,6 @@ def decode(encoded: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
                 part = batch.slice(i, 512)
                 done = [None if x is None else b"".join(map(by_id, np.frombuffer(x, "<u4").tolist())) for x in (y.as_py() for y in part.column(at))]
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(done, pa.binary())], names=[*part.schema.names, "decoded"])
+        release()
 
     return encoded.mapInArrow(run, schema)

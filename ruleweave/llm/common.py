@@ -29,12 +29,10 @@ def materialize(df: DataFrame, name: str, compression: str = "zstd", rows: int |
 
     Where about as many narrow rows are expected, they go to files of ROWS_A_FILE, not to one for each shuffle partition.
 
-    The shuffles behind a wide df are of no more use then, but Spark keeps their files until the driver collects its garbage;
-    it is asked to, so that the disk holds those of one step and not of all. discard() deletes the table.
+    The shuffles and broadcasts behind df are of no more use then, but Spark keeps them until the driver collects its
+    garbage; it is asked to, so that disk and executors hold those of one step and not of all. discard() deletes the table.
     """
-    if rows is not None:
-        return written(df.coalesce(max(6, -(-rows // ROWS_A_FILE))), name, compression)
-    out = written(df, name, compression)
+    out = written(df if rows is None else df.coalesce(max(6, -(-rows // ROWS_A_FILE))), name, compression)
     df.sparkSession.sparkContext._jvm.System.gc()
     return out
 
