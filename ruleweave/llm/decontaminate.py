@@ -62,7 +62,7 @@ def scan(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, max_window
     rows = words.select("doc_id", "k", "words", F.posexplode(F.concat(F.array(F.lit(None).cast("string")), F.col("words"))).alias("i", "word"))
     rows = rows.withColumns({"i": F.col("i") - 1, "after": F.get("words", F.col("i"))})
     n_windows, least = wins.agg(F.count(F.lit(1)), F.min("n")).first()
-    n_blocks = max(1, -(-n_windows // max_windows))
+    n_blocks = max(1, -(-n_windows // max(1, max_windows)))
     parts = []
     for b in range(n_blocks):
         own = wins.where(F.pmod(F.xxhash64("w", F.lit(b"block")), F.lit(n_blocks)) == b) if n_blocks > 1 else wins
