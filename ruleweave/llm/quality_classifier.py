@@ -58,8 +58,11 @@ def labelled_sample(labels: DataFrame, size: int = SAMPLE) -> DataFrame:
     judged = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy(F.col("doc_id").alias("l_id")).agg((F.min("quality").eqNullSafe(1) & (F.coalesce(F.max("toxic"), F.lit(0)) == 0)).alias("good"))
     slot = F.pmod(F.xxhash64(F.lit(SEED), "l_id"), F.lit(size * SLOTS).cast("long"))
     one = judged.groupBy("good", slot.alias("slot")).agg(F.min("l_id").alias("l_id"))
-    kind = lambda good: one.where(F.col("good") == good).orderBy("slot").limit(size).select("l_id", "good")
-    return kind(True).unionByName(kind(False))
+    for r in one.groupBy("good").count().collect():
+        if r["count"] > size:  # the size-th slot of the kind parts its first labels from the others
+            last = kth_largest(one.where(F.col("good") == r.good).select((-F.col("slot")).cast("double").alias("key")), size)
+            one = one.where((F.col("good") != r.good) | (-F.col("slot") >= F.lit(int(last))))
+    return one.select("l_id", "good")
 
 
 def shrinkage(count: np.ndarray, expected: np.ndarray) -> np.ndarray:

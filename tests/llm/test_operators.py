@@ -300,6 +300,16 @@ def test_weights_and_sampling_by_brute_force(spark):
         assert all(r.kept == (r.key >= least) for r in got) and sum(r.kept for r in got) in (n, n + 1)
 
 
+def test_labelled_sample_is_full_and_bounded(spark):
+    labels = spark.createDataFrame([(i, int(i % 3 > 0), int(i % 10 == 0)) for i in range(3000)] + [(None, 1, 0), (7, None, 0)], "doc_id long, quality int, toxic int")
+    for size, full in ((50, True), (500, True), (5000, False)):
+        got = quality_classifier.labelled_sample(labels, size).collect()
+        for good, most in ((True, 1800), (False, 1200)):
+            n = sum(r.good == good for r in got)
+            assert n == size if full else 0.9 * most < n <= most
+        assert all(r.good == (r.l_id % 3 > 0 and r.l_id % 10 > 0) for r in got) and len({r.l_id for r in got}) == len(got)
+
+
 def test_kth_largest(spark):
     keys = np.random.default_rng(1).normal(size=5000).round(2)
     df = spark.createDataFrame([(float(x),) for x in keys], "key double")
