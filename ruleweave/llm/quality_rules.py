@@ -153,7 +153,9 @@ def common_words(docs: DataFrame, id_lang: str = "lang") -> dict[str | None, dic
         release()
 
     n = docs.select(F.col(id_lang).cast("string").alias("lang"), "text").mapInArrow(count, "lang string, word binary, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
-    n = materialize(n.withColumn("all", F.max(F.when(F.length("word") == 0, F.col("n"))).over(Window.partitionBy("lang"))).where((F.col("n") >= WORD_SHARE * F.col("all")) & (F.length("word") > 0)), "common-words", rows=0)
+    n = materialize(n, "words")
+    size = F.broadcast(n.where(F.length("word") == 0).select(F.col("lang").alias("s_lang"), F.col("n").alias("all")))  # a row for each language
+    n = n.where(F.length("word") > 0).join(size, F.col("lang").eqNullSafe(F.col("s_lang"))).where(F.col("n") >= WORD_SHARE * F.col("all")).drop("s_lang")
     top = n.withColumn("place", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "word")) - 1).where(F.col("place") < WORDS_EACH)
     out: dict[str | None, dict[bytes, int]] = defaultdict(dict)
     for r in top.select("lang", "word", "place").collect():  # WORDS_EACH rows a language
