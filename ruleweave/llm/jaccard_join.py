@@ -8,8 +8,10 @@ share; the strongest class of an agreement is left out by neither, so no linked
 next to nothing lie at distance 1 from every pivot, and windows of twice the radius then copy all rows everywhere.
 Inside a region the join is the metric one: pivots make Voronoi cells, a set joins every cell whose pivot is within
 its nearest pivot's distance plus twice the radius, cells are joined recursively, and every link is checked exactly.
-Regions are cut anew by classes of their own. One that stays large is cut into Voronoi cells by all its tasks: pivots
-link what lies within the radius, cells whose sets are all in one component are done, small ones are joined in memory and
+Regions are cut anew by classes of their own. One that stays large is cut by its rarest shingles: those that no other set
+of the region has link nothing, and two linked sets share one of the rarest others, of which each takes as many as the
+percentage leaves it to miss, and one; long sets that meet by chance drop out here, as they have few shared shingles. What
+then is large is cut into Voronoi cells by all its tasks: pivots link what lies within the radius, cells whose sets are all in one component are done, small ones are joined in memory and
 large ones cut again, by pivots that no component has taken in. Where cells do not part a region (its sets are as far
 from all pivots), sets outside its main component are joined with all, block by block. Links inside a found component add
 nothing and are skipped.
@@ -48,8 +50,9 @@ BUCKET_BYTES = 16 << 20
 REGION, REGION_SHINGLES = 4096, 1_000_000
 #: A shingle in this share of documents is frequent; so many of them are known at most; classes added for frequent ones.
 SHARE, MAX_FREQUENT, SLACK = 0.002, 500_000, 0.15
-#: Times that regions are cut anew, from the second time on only those of more than REGION nodes.
-LEVELS = 3
+#: Times that regions are cut anew, from the second time on only those of more than REGION nodes; then, by rarest shingles,
+#: those of more than REGION nodes or REGION_SHINGLES.
+LEVELS, RAREST = 3, 2
 _CELL, _PIVOTS = 48, 6
 #: Pivots of a region that is cut by many tasks, how often its cells are cut again, and to how many copies of its sets at most.
 PIVOTS, ROUNDS, COPIES = 32, 4, 3
@@ -136,6 +139,31 @@ def node_of(s: np.ndarray) -> int:
     return xxhash.xxh3_64_intdigest(s.tobytes(), seed=1) - (1 << 63)
 
 
+def _dealt(sig: np.ndarray, of: np.ndarray, n_buckets: int) -> list[tuple[int, bytes, bytes]]:
+    """For each bucket its signatures and, in runs, the nodes that have them."""
+    bucket, rows = bucket_of(sig, n_buckets), []
+    order = np.lexsort((of, bucket))
+    for part in np.split(order, np.flatnonzero(np.diff(bucket[order])) + 1):
+        if len(part):
+            run = np.flatnonzero(np.concatenate(([True], of[part][1:] != of[part][:-1])))
+            counts = pack(np.diff(np.append(run, len(part))).astype(np.uint32))
+            rows.append((int(bucket[part[0]]), sig[part].tobytes(), len(counts).to_bytes(4, "little") + counts + of[part][run].tobytes()))
+    return rows
+
+
+def _undealt(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """Signatures of a bucket in order, and their nodes."""
+    sig = np.concatenate([np.frombuffer(x.as_py(), np.uint64) for x in t.column("sig")])
+    of = []
+    for x in t.column("nodes"):
+        x = x.as_py()
+        at = 4 + int.from_bytes(x[:4], "little")
+        of.append(np.repeat(np.frombuffer(x, np.int64, offset=at), unpack(x[4:at], np.uint32)))
+    of = np.concatenate(of)
+    order = np.lexsort((of, sig))
+    return sig[order], of[order]
+
+
 def _signed(batches: Iterator[pa.RecordBatch], w: int, percent: int, n_buckets: int, frequent: np.ndarray) -> Iterator[pa.RecordBatch]:
     """Rows of a bucket: signatures and their nodes; rows of a negative bucket: documents with node and set size."""
     sets, classes, made = Shingles(w), Classes(percent, frequent), 0
@@ -149,14 +177,7 @@ def _signed(batches: Iterator[pa.RecordBatch], w: int, percent: int, n_buckets:
         rows = [(-1 - made % n_buckets, None, None, list(ids), list(ks), list(nodes), list(sizes))]
         if sigs:
             of = np.repeat(np.array([x for x, _ in sigs], np.int64), [len(x) for _, x in sigs])
-            sig = np.concatenate([x for _, x in sigs])
-            bucket = bucket_of(sig, n_buckets)
-            order = np.lexsort((of, bucket))
-            for part in np.split(order, np.flatnonzero(np.diff(bucket[order])) + 1):
-                if len(part):
-                    run = np.flatnonzero(np.concatenate(([True], of[part][1:] != of[part][:-1])))
-                    counts = pack(np.diff(np.append(run, len(part))).astype(np.uint32))
-                    rows.append((int(bucket[part[0]]), sig[part].tobytes(), len(counts).to_bytes(4, "little") + counts + of[part][run].tobytes(), *[None] * 4))
+            rows += [(*x, *[None] * 4) for x in _dealt(np.concatenate([x for _, x in sigs]), of, n_buckets)]
         for x in (ids, ks, nodes, sizes, sigs, seen):
             x.clear()
         total = 0
@@ -195,24 +216,74 @@ def _agree(t: pa.Table, n_parts: int) -> pa.Table:
     names, types = ["part", "pairs", "doc_id", "k", "node", "n"], [pa.int32(), pa.binary(), *[pa.list_(pa.int64())] * 4]
     if t.num_rows and t.column("bucket")[0].as_py() < 0:
         return pa.table([pa.nulls(t.num_rows, pa.int32()), pa.nulls(t.num_rows, pa.binary()), *(t.column(c).cast(pa.list_(pa.int64())) for c in names[2:])], names=names)
-    sig = np.concatenate([np.frombuffer(x.as_py(), np.uint64) for x in t.column("sig")])
-    of = []
-    for x in t.column("nodes"):
-        x = x.as_py()
-        at = 4 + int.from_bytes(x[:4], "little")
-        of.append(np.repeat(np.frombuffer(x, np.int64, offset=at), unpack(x[4:at], np.uint32)))
-    of = np.concatenate(of)
-    order = np.lexsort((of, sig))
-    sig, of = sig[order], of[order]
+    sig, of = _undealt(t)
     first = np.concatenate((np.ones(min(1, len(sig)), bool), sig[1:] != sig[:-1]))
     lead = of[np.maximum.accumulate(np.where(first, np.arange(len(sig)), 0))]
     link = of != lead
-    del sig, order
+    del sig
     release()
     rows = _pairs_by_part(of[link], lead[link], n_parts)
     return pa.table([pa.array(c, k) for c, k in zip(zip(*((p, x, None, None, None, None) for p, x in rows), strict=True) if rows else [()] * 6, types, strict=True)], names=names)
 
 
+def _spread(batches: Iterator[pa.RecordBatch], w: int, n_buckets: int) -> Iterator[pa.RecordBatch]:
+    """All shingles of sets, told apart by region, in buckets."""
+    make, nodes, sets, total = Shingles(w), [], [], 0
+
+    def flush() -> pa.RecordBatch:
+        rows = _dealt(np.concatenate(sets), np.repeat(np.array(nodes, np.int64), [len(x) for x in sets]), n_buckets)
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), (pa.int32(), pa.binary(), pa.binary()), strict=True)], names=["bucket", "sig", "nodes"])
+
+    for batch in batches:
+        for node, region, text in zip(batch.column("node").to_pylist(), batch.column("region").to_pylist(), batch.column("text"), strict=True):
+            nodes.append(node)
+            sets.append(mix(make(text.as_py()) ^ mix(np.array([region], np.int64).view(np.uint64))))
+            total += len(sets[-1])
+            if total >= BLOCK:
+                yield flush()
+                nodes, sets, total = [], [], 0
+    if sets:
+        yield flush()
+    del make
+    release()
+
+
+def _shared(t: pa.Table, n_parts: int) -> pa.Table:
+    """Shingles that several sets of a region have and in how many, by parts of the sets."""
+    sig, of = _undealt(t)
+    first = np.flatnonzero(np.concatenate((np.ones(min(1, len(sig)), bool), sig[1:] != sig[:-1])))
+    times = np.diff(np.append(first, len(sig)))
+    times = np.repeat(times, times)
+    several = times > 1
+    sig, of, times = sig[several], of[several], times[several].astype(np.uint32)
+    part = of % n_parts
+    order = np.argsort(part, kind="stable")
+    rows = [(int(part[own[0]]), sig[own].tobytes(), of[own].tobytes(), times[own].tobytes()) for own in np.split(order, np.flatnonzero(np.diff(part[order])) + 1) if len(own)]
+    release()
+    return pa.table([pa.array(c, k) for c, k in zip(zip(*rows, strict=True) if rows else [()] * 4, (pa.int32(), pa.binary(), pa.binary(), pa.binary()), strict=True)], names=["part", "sig", "of", "times"])
+
+
+def _rarest(shared: pa.Table, sizes: pa.Table, percent: int, n_buckets: int) -> pa.Table:
+    """The rarest shared shingles of a part's sets, dealt: of those that a set shares, all but what a linked set must have, and one.
+
+    A linked set has percent of a set's shingles at least, and both order them alike, so the rarest that they share is among
+    these in both.
+    """
+    types = [pa.int32(), pa.binary(), pa.binary()]
+    sig, of, times = (np.concatenate([np.frombuffer(x.as_py(), k) for x in shared.column(c)] or [np.zeros(0, k)]) for c, k in (("sig", np.uint64), ("of", np.int64), ("times", np.uint32)))
+    node, n = np.array(sizes.column("node").to_pylist(), np.int64), np.array(sizes.column("set_size").to_pylist(), np.int64)
+    order = np.lexsort((sig, times, of))
+    sig, of = sig[order], of[order]
+    begin = np.flatnonzero(np.concatenate((np.ones(min(1, len(of)), bool), of[1:] != of[:-1])))
+    own = np.diff(np.append(begin, len(of)))
+    by = np.argsort(node)
+    must = -(-n[by] * percent // 100)[np.searchsorted(node[by], of[begin])] if len(begin) else own
+    few = np.arange(len(of)) - np.repeat(begin, own) <= np.repeat(own - must, own)
+    rows = _dealt(sig[few], of[few], n_buckets)
+    release()
+    return pa.table([pa.array(c, k) for c, k in zip(zip(*rows, strict=True) if rows else [()] * 3, types, strict=True)], names=["bucket", "sig", "nodes"])
+
+
 def _distinct_pairs(t: pa.Table) -> pa.Table:
     both = np.unique(np.concatenate([np.frombuffer(x.as_py(), np.int64) for x in t.column("pairs")]).reshape(-1, 2), axis=0)
     return pa.table([pa.array(both[:, 0]), pa.array(both[:, 1])], names=["a", "b"])
@@ -462,10 +533,37 @@ def jaccard_components(docs: DataFrame, w: int = SHINGLE, percent: int = PERCENT
         regions = materialize(old.where(~again).unionByName(cut(met_again)), "regions", rows=now[0])
         discard(old, met_again)
     n_left = regions.count()
-    sized = regions.join(rows.groupBy("node").agg(F.max("n").alias("set_size")), "node")
-    weights = sized.groupBy("region").agg(F.sum("set_size").alias("weight"))
-    blocks = F.greatest(F.ceil(F.col("size") / region), F.ceil(F.col("weight") / REGION_SHINGLES)).cast("int")
-    sets = brought(sized.join(weights, "region").select("node", "region", "set_size", blocks.alias("blocks")), n_left, "set_size", "blocks")
+
+    def measured(regions: DataFrame) -> DataFrame:
+        """regions with set_size, and blocks: over 1 where a region is large."""
+        sized = regions.join(rows.groupBy("node").agg(F.max("n").alias("set_size")), "node")
+        weights = sized.groupBy("region").agg(F.sum("set_size").alias("weight"))
+        blocks = F.greatest(F.ceil(F.col("size") / region), F.ceil(F.col("weight") / REGION_SHINGLES)).cast("int")
+        return materialize(sized.join(weights, "region").select("node", "region", "size", "set_size", blocks.alias("blocks")), "sized", rows=n_left)
+
+    def by_rarest(large: DataFrame, nodes: int, n_parts: int) -> DataFrame:
+        """Agreements of nodes of large regions on one of their rarest shared shingles."""
+        spread = brought(large.select("node", "region"), nodes).select("node", "region", "text").mapInArrow(lambda it: _spread(it, w, n_parts), "bucket int, sig binary, nodes binary")
+        shared = spread.groupBy("bucket").applyInArrow(lambda t: _shared(t, n_parts), "part int, sig binary, of binary, times binary")
+        shared = materialize(shared, "shared")
+        in_part = large.select("node", "set_size", F.pmod("node", F.lit(n_parts)).cast("int").alias("p"))
+        rare = shared.groupBy("part").cogroup(in_part.groupBy("p")).applyInArrow(lambda a, b: _rarest(a, b, percent, n_parts), "bucket int, sig binary, nodes binary")
+        rare = rare.select("*", *(F.lit(None).cast("array<long>").alias(c) for c in ("doc_id", "k", "node", "n")))
+        out = materialize(rare.groupBy("bucket").applyInArrow(lambda t: _agree(t, n_parts), f"part int, pairs binary, {lists}"), "agreements")
+        discard(shared)
+        return out
+
+    sized, before = measured(regions), None
+    for _ in range(RAREST):
+        large = sized.where("blocks > 1").select("node", "region", "set_size")
+        now = tuple(large.agg(F.count(F.lit(1)), F.count_distinct("region"), F.sum("set_size")).first())
+        if not now[0] or now == before:
+            break
+        before, old, met_again = now, sized, by_rarest(large, now[0], buckets_for(now[2] * 24, BUCKET_BYTES))
+        again = cut(met_again)
+        sized = measured(old.where("blocks = 1").select("node", "region", "size").unionByName(again))
+        discard(old, met_again, again)
+    sets = brought(sized.select("node", "region", "set_size", "blocks"), n_left, "set_size", "blocks")
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # A compressed text takes a third of the bytes of its set, so texts travel and regions make the sets.
@@ -477,7 +575,7 @@ def jaccard_components(docs: DataFrame, w: int = SHINGLE, percent: int = PERCENT
     sets = sets.select("node", "region", "set_size", "blocks", "text").mapInArrow(packed, "node long, region long, set_size long, blocks int, packed binary")
     joined = lambda rows: rows.groupBy("g", "i", "j").applyInArrow(lambda t: _join_regions(t, w, percent), "a long, b long")
     group = ("region", "node", F.col("node").alias("root"), "packed")
-    if sized.join(weights, "region").where(blocks > 1).isEmpty():
+    if sized.where("blocks > 1").isEmpty():
         links = joined(sets.select(F.pmod(F.xxhash64("region"), F.lit(n_buckets * 4)).alias("g"), F.lit(0).alias("i"), F.lit(0).alias("j"), *group))
     else:
         sets = materialize(sets, "sets")

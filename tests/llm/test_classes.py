@@ -1,10 +1,11 @@
 """The exact split of the Jaccard join: linked sets share a signature."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import zstandard
 
-from ruleweave.llm.jaccard_join import Classes, _join_regions, by_cells, jaccard_components
+from ruleweave.llm.jaccard_join import Classes, _agree, _join_regions, _rarest, _shared, _spread, by_cells, jaccard_components
 
 
 @pytest.mark.parametrize("percent", [80, 90])
@@ -82,3 +83,28 @@ def test_cells_alone_find_all_links(spark, alike):
         return {frozenset(i for i in group if group[i] == g) for g in set(group.values())}
 
     assert parts(found) == parts((a, b) for a in sets for b in sets if a < b and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]))
+
+
+@pytest.mark.parametrize("percent", [80, 90])
+def test_rarest_shingles_keep_links_and_part_what_meets_by_chance(percent):
+    """Of one region, linked sets stay together; texts that share a fifth of their shingles with others fall out."""
+    rng = np.random.default_rng(percent)
+    phrases = [" ".join(f"c{i}_{j}" for j in range(12)) for i in range(30)]
+    alone = [" ".join([f"u{i}_{j}" for j in range(160)] + [phrases[int(p)] for p in rng.integers(0, 30, 3)]) for i in range(50)]
+    texts = [t for _, t in near_copies(percent)] + alone
+    sets = [frozenset(zip(w, w[1:], w[2:], strict=False)) for w in (t.split() for t in texts)]
+    linked = {(a, b) for a in range(len(sets)) for b in range(a) if sets[a] != sets[b] and 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b])}
+    assert linked
+    n_parts, half = 3, len(texts) // 2
+    batch = lambda ids: pa.RecordBatch.from_pydict({"node": list(ids), "region": [5] * len(ids), "text": [texts[i] for i in ids]})
+    spread = pa.Table.from_batches(_spread(iter([batch(range(half)), batch(range(half, len(texts)))]), 3, n_parts))
+    of = lambda t, c, i: t.filter(pa.array([x == i for x in t.column(c).to_pylist()], pa.bool_()))
+    shared = pa.concat_tables(_shared(x, n_parts) for i in range(n_parts) if (x := of(spread, "bucket", i)).num_rows)
+    sizes = lambda i: pa.table({"node": list(range(i, len(texts), n_parts)), "set_size": [len(sets[x]) for x in range(i, len(texts), n_parts)]})
+    rare = pa.concat_tables(_rarest(of(shared, "part", i), sizes(i), percent, n_parts) for i in range(n_parts))
+    pairs = [x for i in range(n_parts) if (y := of(rare, "bucket", i)).num_rows for x in _agree(y, n_parts).column("pairs").to_pylist()]
+    group = list(range(len(texts)))
+    for a, b in np.concatenate([np.frombuffer(x, np.int64) for x in pairs]).reshape(-1, 2).tolist():
+        group = [group[b] if g == group[a] else g for g in group]
+    assert all(group[a] == group[b] for a, b in linked)
+    assert all(group.count(group[i]) == 1 for i in range(len(texts) - 50, len(texts)))
