@@ -6,6 +6,7 @@ import pytest
 import zstandard
 
 from ruleweave.llm.jaccard_join import Classes, _agree, _join_regions, _rarest, _shared, _spread, by_cells, jaccard_components
+from ruleweave.sources.shared import written
 
 
 @pytest.mark.parametrize("percent", [80, 90])
@@ -108,3 +109,12 @@ def test_rarest_shingles_keep_links_and_part_what_meets_by_chance(percent):
         group = [group[b] if g == group[a] else g for g in group]
     assert all(group[a] == group[b] for a, b in linked)
     assert all(group.count(group[i]) == 1 for i in range(len(texts) - 50, len(texts)))
+
+
+def test_written_tables_have_no_checksum_files(spark):
+    """Hadoop starts a process for each, which counts with all of the JVM's memory while it starts."""
+    import os
+
+    t = written(spark.range(20).repartition(2))
+    names = os.listdir(t._written.removeprefix("file://"))
+    assert t.count() == 20 and not [x for x in names if x.endswith(".crc")]
